@@ -3,13 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import packing, spans, tokens
+from marginalia.llm import ledger, neardup, packing, plain, spans, splitting, tokens
 from marginalia.runtime import stage, table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, key, doc, text) of parsed documents and chunks."""
+    documents = table(spark, d, "parsed_documents").select(F.lit("document").alias("kind"), F.col("parsed_id").alias("key"), F.col("parsed_id").alias("doc"), F.col("extracted_text").alias("text"))
+    chunks = table(spark, d, "document_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.col("parsed_id").alias("doc"), "text")
+    return documents.unionByName(chunks)
+
+
+def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, ledger.Ledger]:
+    books, records = ledger.Ledger(spark), []
+    for batch in ledger.arrivals(table(spark, d, "knowledge_objects"), "chunk_id", "loaded_at"):
+        records.append(stage(ledger.knowledge_keys(batch), "records"))
+    for batch in ledger.arrivals(table(spark, d, "research_reports"), "report_id", "created_at"):
+        records.append(stage(ledger.report_keys(batch), "records"))
+    for r in records:
+        books.add(r)
+    return reduce(DataFrame.unionByName, records), books
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.copies(*_ledger(spark, d))
+
+
+def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return _ledger(spark, d)[1].rows().select("kind", "keep_key", "n_copies")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = plain.fingerprints(table(spark, d, "parsed_documents"), "document", "parsed_id", "extracted_text")
+    chunks = plain.fingerprints(table(spark, d, "document_chunks"), "chunk", "chunk_id", "text")
+    return plain.same_looking(documents.unionByName(chunks))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(*neardup.near_duplicates(_texts(spark, d), words=3, threshold=0.7))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.classes(*neardup.near_duplicates(_texts(spark, d)))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.audit(table(spark, d, "document_chunks"), table(spark, d, "parsed_documents"), table(spark, d, "chunking_configs"))
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "chunking_configs").select("config_id", "max_chars", "overlap_chars")
+    return splitting.split(table(spark, d, "parsed_documents").join(limits, "config_id", "left"), "parsed_id", "extracted_text", "max_chars", "overlap_chars")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -28,7 +79,8 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_share": p10_share}
+    found = [p1_found, p1_ledger, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
