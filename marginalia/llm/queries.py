@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ledger, neardup, packing, plain, spans, splitting, tokens
+from marginalia.llm import ledger, neardup, packing, plain, scans, spans, splitting, tokens
 from marginalia.runtime import stage, table
 
 
@@ -38,6 +38,18 @@ def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[1].rows().select("kind", "keep_key", "n_copies")
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return scans.findings(table(spark, d, "parsed_documents"), "parsed_id", "extracted_text", "file_type", "page_count")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("parsed_id", "line_no", "kind").distinct()
+
+
+def p3_findings(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     documents = plain.fingerprints(table(spark, d, "parsed_documents"), "document", "parsed_id", "extracted_text")
     chunks = plain.fingerprints(table(spark, d, "document_chunks"), "chunk", "chunk_id", "text")
@@ -79,7 +91,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_ledger, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
+    found = [p1_found, p1_ledger, p3_found, p3_findings, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
     return {f.__name__: f for f in found}
 
 

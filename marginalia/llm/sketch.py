@@ -5,6 +5,7 @@ Their size is a parameter and doesn't grow with the data, so what the driver rec
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +16,18 @@ from pyspark.sql import DataFrame
 SLICES = 16
 
 
-def gather(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, merge: np.ufunc = np.add) -> np.ndarray:
+def saturating_sum(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``a + b`` in ``out``, unsigned entries staying at their greatest value."""
+    most = np.iinfo(a.dtype).max
+    np.add(np.minimum(a, most - b), b, out=out)
+    return out
+
+
+def gather(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, merge: Callable[..., np.ndarray] = np.add) -> np.ndarray:
     """The arrays that ``add`` fills from the batches of each task, merged: one array of ``size`` entries.
 
-    ``merge`` must not depend on order; saturation is the caller's matter. Each task sends its array
-    once, in slices without their zeros where that is shorter; the driver gets ``size`` entries altogether.
+    ``merge`` must not depend on order (``saturating_sum`` stays at the greatest value). Each task sends its array
+    once, in compressed slices; the driver gets ``size`` entries altogether.
     """
     width = -(-size // SLICES)
 
@@ -29,21 +37,19 @@ def gather(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], siz
             add(own, batch)
         for k in range(SLICES):
             part = own[k * width : (k + 1) * width]
-            at = np.flatnonzero(part).astype(np.int32)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["slice", "at", "n"])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slice", "n"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, n in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums.setdefault(k, np.zeros(width, dtype))
-                i = np.frombuffer(at, np.int32)
-                own[i] = merge(own[i], np.frombuffer(n, dtype))
+                merge(own, np.frombuffer(zlib.decompress(n), dtype), out=own)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n"])
 
-    parts = df.mapInArrow(fill, "slice int, at binary, n binary").repartition(SLICES, "slice").mapInArrow(total, "slice int, n binary").collect()  # SLICES rows
+    parts = df.mapInArrow(fill, "slice int, n binary").repartition(SLICES, "slice").mapInArrow(total, "slice int, n binary").collect()  # SLICES rows
     out = np.zeros(width * SLICES, dtype)
     for r in parts:
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["n"], dtype)
