@@ -20,18 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.sketch import gather
+from marginalia.llm.sketch import gather, saturating_sum
 from marginalia.runtime import spread, stage
 
 WORDS = 5
 THRESHOLD = 0.8
 LEAST_WORDS = 20
-#: Counters of the shingle frequencies (4 bytes each), and bits of the filter of texts to verify. Both only
-#: steer work: with more collisions the order of shingles and the filter get coarser, the result stays.
-COUNTERS = 1 << 20
+#: Counters of the shingle frequencies (a byte each, staying at 255), and bits of the filter of texts to verify. Both
+#: only steer work: with more collisions the order of shingles and the filter get coarser, the result stays.
+COUNTERS = 1 << 25
 FILTER_BITS = 1 << 24
 #: A shingle is frequent above this count, in addition to thrice the mean of a counter.
-FREQUENT = 64
+FREQUENT = 12
+#: Bits of each class's parity map.
+PARITY_BITS = 1024
 _MEMO = 300_000
 
 _words: dict[str, int] = {}
@@ -71,8 +73,8 @@ def _least_common(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, t: Fraction) -> tuple[np.ndarray, int]:
-    """The index entries of a set: rare shingles of its prefix, then pairs of frequent ones; the number of rare ones."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, t: Fraction) -> np.ndarray:
+    """The index entries of a set: rare shingles of its prefix (even numbers) and pairs of frequent ones (odd)."""
     n = len(tokens)
     seen = counts[(tokens % np.uint64(len(counts))).astype(np.int64)]
     rank = np.log2(seen.astype(np.float64) + 1).astype(np.uint64)
@@ -81,13 +83,23 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, t: Fractio
     often = seen[prefix] > frequent
     if _least_common(n, t) < 2:
         often[:] = False
-    rare, common = tokens[prefix[~often]], np.sort(tokens[prefix[often]])
+    # What is counted once in the whole corpus is in no other record.
+    rare, common = tokens[prefix[~often & (seen[prefix] > 1)]], np.sort(tokens[prefix[often]])
     i, j = np.triu_indices(len(common), 1)
     pairs = _mix(common[i] * _K[0] + common[j] * _K[1])
-    return np.concatenate([rare, pairs]).view(np.int64), len(rare)
+    return np.concatenate([rare & ~np.uint64(1), pairs | np.uint64(1)]).view(np.int64)
 
 
-_MEMBERS = "kind string, key string, doc string, cls bigint, n int, mark bigint, sigs array<bigint>, n_rare int"
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITY_BITS parts of the hashes whether the set has an odd number in it, as 64-bit integers.
+
+    Sets that differ in d shingles differ in at most d of these bits.
+    """
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_MEMBERS = "kind string, key string, doc string, cls bigint, n int, mark bigint, sigs array<bigint>, bits array<bigint>"
 
 
 def _mark(text: str, kind: str) -> int:
@@ -110,40 +122,51 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
         kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         sets = [s for k, x in zip(kinds, texts) if (s := shingles(x, k, words, least_words)) is not None]
         if sets:
-            np.add.at(own, (np.concatenate(sets) % np.uint64(counters)).astype(np.int64), np.uint32(1))
+            at, n = np.unique((np.concatenate(sets) % np.uint64(counters)).astype(np.int64), return_counts=True)
+            own[at] = np.minimum(own[at] + n, 255)
 
-    counts = gather(rows.select("kind", "text"), count, counters, "uint32")
-    frequent = FREQUENT + 3 * int(counts.mean())
+    counts = gather(rows.select("kind", "text"), count, counters, "uint8", saturating_sum)
+    frequent = min(FREQUENT + 3 * int(counts.mean()), 250)
     shared = records.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             found = []
             for kind, key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, kind, words, least_words)
                 if s is not None:
-                    sigs, rare = signatures(s, shared.value, frequent, t)
-                    found.append((kind, key, doc, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), _mark(text, kind), sigs, rare))
+                    cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    sigs, bits, n = None, None, len(s)
+                    if cls not in done:  # one copy of a class for each task goes on to the index
+                        sigs, bits = signatures(s, shared.value, frequent, t), parity(s)
+                        if len(done) < _MEMO:
+                            done.add(cls)
+                    found.append((kind, key, doc, cls, n, _mark(text, kind), sigs, bits))
             columns = list(zip(*found)) or [()] * 8
-            types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types)], names=["kind", "key", "doc", "cls", "n", "mark", "sigs", "n_rare"])
+            types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types)], names=["kind", "key", "doc", "cls", "n", "mark", "sigs", "bits"])
 
     indexed = stage(rows.mapInArrow(index, _MEMBERS), "indexed")
     members = indexed.select("kind", "key", "doc", "cls", "n").distinct()
-    # One set of entries for each class, however many copies it has.
-    entries = indexed.groupBy("cls").agg(F.min(F.struct("n", "mark", "n_rare", "sigs")).alias("x")).select("cls", "x.*")
-    entries = entries.select("cls", "n", F.posexplode("sigs").alias("at", "sig"), "n_rare").select("sig", "cls", "n", (F.col("at") >= F.col("n_rare")).alias("paired"))
-    left = entries.select("sig", F.col("cls").alias("a"), F.col("n").alias("n_a"), "paired")
-    right = entries.select("sig", F.col("cls").alias("b"), F.col("n").alias("n_b"))
+    # Copies that other tasks sent meet in the partition of their entry and go on once.
+    entries = indexed.select(F.explode("sigs").alias("sig"), "cls", "n").repartition("sig").dropDuplicates(["sig", "cls"])
     p, q = t.numerator, t.denominator
     sized = (F.col("a") < F.col("b")) & (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    met = left.join(right, "sig").where(sized).groupBy("a", "b", "n_a", "n_b").agg(F.count_if(~F.col("paired")).alias("rare"), F.count_if("paired").alias("pairs"))
+    odd = F.col("sig").bitwiseAND(1) == 1
+    met = entries.toDF("sig", "a", "n_a").join(entries.toDF("sig", "b", "n_b"), "sig").where(sized)
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count_if(~odd).alias("rare"), F.count_if(odd).alias("pairs"))
     # c pairs of frequent shingles come from the x common ones with x (x - 1) / 2 = c, at most 1 if c = 0. Of
     # the shingles after a prefix (of all but ceil(t n) - 2) every one may be common.
     common = F.col("rare") + F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2)
     after = F.greatest(*(F.ceil(F.col(n) * p / F.lit(float(q)) - 1e-9) - 2 for n in ("n_a", "n_b")))
     bound = (F.col("n_a") + F.col("n_b")) * p  # overlap * (p + q) >= bound
-    candidates = stage(met.where((common + F.greatest(after, F.lit(0))) * (p + q) >= bound).select("a", "b", "n_a", "n_b"), "candidates")
+    met = met.where((common + F.greatest(after, F.lit(0))) * (p + q) >= bound).select("a", "b", "n_a", "n_b")
+    # The parity maps' difference is at most that of the sets, which is at most (n_a + n_b) (q - p) / (q + p).
+    maps = indexed.where("bits IS NOT NULL").select("cls", "bits").dropDuplicates(["cls"])
+    met = met.join(maps.toDF("a", "bits_a"), "a").join(maps.toDF("b", "bits_b"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    candidates = stage(met.where(differ * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b", "n_a", "n_b"), "candidates")
 
     needed = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     marks = indexed.groupBy("cls").agg(F.min("mark").alias("mark")).join(needed, "cls").select("mark")
