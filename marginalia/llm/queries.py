@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ledger, neardup, packing, plain, scans, spans, splitting, tokens
+from marginalia.llm import ledger, names, neardup, packing, plain, scans, spans, splitting, tokens
 from marginalia.runtime import stage, table
 
 
@@ -50,6 +50,19 @@ def p3_findings(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d)
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "knowledge_objects").select("entities").unionAll(table(spark, d, "research_reports").select("important_entities"))
+    return names.resolve(lists.select(F.explode("entities").alias("spelling")), table(spark, d, "name_aliases"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(_entities(spark, d))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _entities(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     documents = plain.fingerprints(table(spark, d, "parsed_documents"), "document", "parsed_id", "extracted_text")
     chunks = plain.fingerprints(table(spark, d, "document_chunks"), "chunk", "chunk_id", "text")
@@ -91,7 +104,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_ledger, p3_found, p3_findings, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
+    found = [p1_found, p1_ledger, p3_found, p3_findings, p4_found, p4_entities, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
     return {f.__name__: f for f in found}
 
 
