@@ -42,7 +42,7 @@ TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "dame", "
 SMALL_WORDS = {"the", "for", "of", "and", "de", "des", "der", "für", "fur", "et", "y", "und"}
 LEGAL = {"gmbh": "gmbh", "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "sa": "sa", "llc": "llc", "plc": "plc", "ag": "ag"}
 #: What is left of a link's weight for each kind of rewriting; a weight is divided by the originals that compete.
-WEIGHTS = {"same": 1.0, "legal": 0.9, "letters": 0.9, "word": 0.8, "initials": 0.7}
+WEIGHTS = {"same": 1.0, "legal": 0.9, "letters": 0.9, "word": 0.8, "initials": 0.7, "acronym": 0.7}
 LEAST_SCORE = 0.5
 #: Rows of an alias table that may be sent to all executors.
 MOST_ALIASES = 100_000
@@ -152,9 +152,8 @@ class Rules:
                 versions += [[*choice[:i], "".join(w[0] for w in choice[i : i + n]), *choice[i + n :]] for i in range(len(choice) - n + 1)] if len(choice) > n else []
             for k, version in enumerate(versions):
                 v = sorted(version)
-                kind = "same" if k == 0 else "acronym"
-                if k == 0 or len(v) > 1:
-                    found.append(("same", f"{' '.join(v)} | {form}", kind, "full"))
+                found.append(("acronym" if k else "same", f"{' '.join(v)} | {form}", "", "full"))
+                if k == 0:
                     found.append(("legal", " ".join(v), form, "full"))
                 if k == 0:
                     for i, w in enumerate(v):
@@ -235,13 +234,14 @@ def links(forms: DataFrame) -> DataFrame:
 
 
 def _initials(forms: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links of names with initials to the one person that they fit, else to each other."""
+    """Links of names with initials or an acronym to the one original that they fit; initials that fit none, to each other."""
     short = forms.where("level = 'initials'")
-    people = forms.where("level = 'full' AND kind IN ('initials', 'near_initials')").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    people = forms.where("level = 'full' AND kind IN ('initials', 'near_initials', 'acronym')").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    acronyms = forms.where("kind = 'same'").select("form", F.col("name").alias("b")).join(people.where("kind = 'acronym'").select("form", "root").distinct(), "form").select("b", "root", F.lit(0).alias("far"))
     exact = short.where("kind = 'initials'").select("form", F.col("name").alias("b")).join(people.where("kind = 'initials'").select("form", "root").distinct(), "form").select("b", "root", F.lit(0).alias("far"))
     pairs = short.where("kind = 'near_initials'").select("form", F.col("name").alias("b"), F.col("detail").alias("y")).join(people.where("kind = 'near_initials'").select("form", F.col("root").alias("a"), F.col("detail").alias("x")).distinct(), "form")
     near = _verified(pairs.select("a", "b", F.lit("letters").alias("kind"), "x", "y").distinct()).select("b", F.col("a").alias("root"), F.lit(1).alias("far"))
-    fits = exact.unionByName(near).groupBy("b", "root").agg(F.min("far").alias("far"))
+    fits = exact.unionByName(near).unionByName(acronyms).groupBy("b", "root").agg(F.min("far").alias("far"))
     # Surnames spelled alike come before those that differ in a letter.
     closest = fits.groupBy("b").agg(F.min("far").alias("least"))
     fits = fits.join(closest, "b").where("far = least").groupBy("b").agg(F.min("root").alias("a"), (F.lit(WEIGHTS["initials"]) / F.count("*")).alias("score"))
