@@ -113,13 +113,13 @@ def arrivals(df: DataFrame, key_col: str, at_col: str) -> list[DataFrame]:
 
     A key counts where it first arrives; its later deliveries are left out of both batches' others.
     """
-    arrived = F.coalesce(df[at_col], F.lit("9999-12-31").cast("timestamp"))  # unknown arrival: last
+    arrived = F.coalesce(df[at_col], F.lit("9999-12-31").cast(df.schema[at_col].dataType))  # unknown arrival: last
     first = df.groupBy(key_col).agg(F.min_by(F.struct(*[c for c in df.columns if c != key_col]), arrived).alias("row"))
     first = first.select(key_col, "row.*")
     span = df.agg(F.min(at_col).alias("a"), F.max(at_col).alias("b")).first()
     if span["a"] is None:
         return [first]
-    middle = F.lit(span["a"] + (span["b"] - span["a"]) / 2)
+    middle = F.lit(str(span["a"] + (span["b"] - span["a"]) / 2)).cast(df.schema[at_col].dataType)
     late = F.coalesce(F.col(at_col) >= middle, F.lit(True))
     return [first.where(~late), first.where(late)]
 

@@ -108,5 +108,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PLAIN = r"regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_KEYS = f"""k AS (SELECT DISTINCT 'knowledge' AS kind, chunk_id AS record_key, array_to_string(list_sort(list_transform(entities, lambda e: coalesce({_PLAIN.format('e')}, ''))), chr(31)) AS canon
+    FROM knowledge_objects WHERE len(entities) >= 3 UNION ALL
+    SELECT DISTINCT 'report', report_id, array_to_string(list_sort(list_transform(important_entities, lambda e: coalesce({_PLAIN.format('e')}, ''))), chr(31)) || chr(29) ||
+    array_to_string(list_sort(list_transform(refs, lambda r: array_to_string(list_sort(list_filter(list_transform(string_split_regex(coalesce(r, ''), '[;|]'), lambda f: {_PLAIN.format('f')}), lambda f: f <> '')), chr(30)))), chr(31))
+    FROM research_reports WHERE important_entities IS NOT NULL AND refs IS NOT NULL), g AS (SELECT kind, canon, min(record_key) AS keep_key, count(*) AS n_copies FROM k GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB; problems that SQL expresses too slowly or not at all are tested against brute force instead."""
+    return {
+        "p1_found": f"WITH {_KEYS} SELECT k.kind, keep_key, record_key AS copy_key FROM k JOIN g USING (kind, canon) WHERE record_key <> keep_key",
+        "p1_ledger": f"WITH {_KEYS} SELECT kind, keep_key, n_copies FROM g",
+        "p7_found": f"""WITH c AS (SELECT DISTINCT parsed_id, chunk_index, start_char, end_char, text FROM document_chunks),
+            l AS (SELECT *, lag(end_char) OVER (PARTITION BY parsed_id ORDER BY chunk_index, start_char, end_char, text) AS previous FROM c),
+            j AS (SELECT l.*, extracted_text AS t, max_chars, overlap_chars FROM l JOIN parsed_documents p USING (parsed_id) LEFT JOIN chunking_configs USING (config_id))
+            SELECT parsed_id, chunk_index, 'too_long' AS defect FROM j WHERE end_char - start_char > max_chars UNION
+            SELECT parsed_id, chunk_index, 'offset' FROM j WHERE text IS DISTINCT FROM substr(t, start_char + 1, end_char - start_char) UNION
+            SELECT parsed_id, chunk_index, 'gap' FROM j WHERE start_char > previous UNION
+            SELECT parsed_id, chunk_index, 'overlap' FROM j WHERE start_char < previous - overlap_chars UNION
+            SELECT parsed_id, chunk_index, 'inside_word' FROM j WHERE end_char > 0 AND end_char < length(t) AND NOT regexp_matches(substr(t, end_char, 2), '{_WHITE}')
+              AND regexp_matches(substr(t, start_char + 1, end_char - start_char), '{_WHITE}')""",
+    }
