@@ -32,7 +32,7 @@ CONFUSIONS = {
     ("g", "9"): 0.5, ("b", "6"): 0.6, ("B", "8"): 0.5, ("z", "2"): 0.6, ("Z", "2"): 0.6, ("0", "O"): 0.5, ("0", "o"): 0.6, ("1", "l"): 0.5, ("1", "I"): 0.5, ("5", "S"): 0.5,
     ("5", "s"): 0.6, ("2", "Z"): 0.5, ("8", "B"): 0.5, ("9", "g"): 0.6, ("6", "b"): 0.6, ("e", "c"): 0.7, ("c", "e"): 0.8, ("t", "f"): 0.8, ("f", "t"): 0.9, ("h", "b"): 0.8, ("b", "h"): 0.9,
     ("a", "o"): 0.9, ("o", "a"): 1.0, ("m", "rn"): 0.6, ("rn", "m"): 0.7, ("d", "cl"): 0.6, ("cl", "d"): 0.7, ("w", "vv"): 0.5, ("u", "ii"): 0.6, ("n", "ri"): 0.7, ("ri", "n"): 0.8,
-    ("h", "li"): 0.7, ("li", "h"): 0.7, ("nn", "rm"): 0.7, ("rm", "nn"): 0.9, ("M", "RN"): 0.8, ("n", "u"): 1.0, ("u", "n"): 1.0, ("O", "Q"): 1.0, ("E", "F"): 1.0,
+    ("i", "!"): 0.5, ("l", "!"): 0.7, ("I", "!"): 0.6, ("i", "|"): 0.6, ("l", "|"): 0.5, ("I", "|"): 0.5, ("h", "li"): 0.7, ("li", "h"): 0.7, ("nn", "rm"): 0.7, ("rm", "nn"): 0.9, ("M", "RN"): 0.8, ("n", "u"): 1.0, ("u", "n"): 1.0, ("O", "Q"): 1.0, ("E", "F"): 1.0,
 }
 #: Hyphens that only a broken word has, and the plain one, which compounds have too.
 BREAK_SIGNS = "¬­‐"
@@ -47,10 +47,12 @@ RATIO = 4.0
 FILTER_BITS = 1 << 24
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: A word as read, which may hold signs that stand for letters.
+_READ = re.compile(r"[!|]?[^\W_]+(?:['’!|][^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_END = re.compile(rf"([^\W_]+)([{HYPHENS}])\s*$")
-_FIRST = re.compile(r"\s*([^\W_]+)")
+_END = re.compile(rf"((?:[^\W_]|[!|](?=[^\W_]))+)([{HYPHENS}])\s*$")
+_FIRST = re.compile(r"\s*((?:[^\W_]|[!|](?=[^\W_]))+)")
 # What is around a page number.
 _NUMBERS = [
     (k, re.compile(p, re.IGNORECASE))
@@ -242,7 +244,7 @@ def layout(text: str, pages: int) -> Page:
         end = _END.search(line)
         first = _FIRST.match(lines[after]) if after is not None else None
         broken = end and first and (end[2] != "-" or not first[1][0].isupper() or end[1].isupper())
-        for m in _TOKEN.finditer(line):
+        for m in _READ.finditer(line):
             if here in taken and m.start() == len(line) - len(line.lstrip()):
                 continue  # the rest of a word from the line before
             if broken and end and m.start() <= end.start(1) < m.end():
@@ -257,6 +259,8 @@ def layout(text: str, pages: int) -> Page:
 
 def mixed(word: str) -> str | None:
     """What a word or number with a character of the other sort among its own stands for; None if it has none."""
+    if re.search(r"[!|](?=[^\W\d_])", word):
+        return word.replace("!", "i").replace("|", "l")
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
     if digits and letters > digits and letters >= 2 and digits <= 2 and letters + digits == len(word):
@@ -302,8 +306,8 @@ def cased(word: str, like: str) -> list[str]:
     if sum(c.isupper() for c in like) >= 2 and not any(c.islower() and c != "l" for c in like):
         return [word.upper()]
     if like[:1].isupper():
-        return [word[:1].upper() + word[1:]]
-    return [word] if not like[:1].isdigit() else [word, word[:1].upper() + word[1:]]
+        return [word[:1].upper() + word[1:], word] if like[0] == "I" else [word[:1].upper() + word[1:]]
+    return [word] if like[:1].isalpha() else [word, word[:1].upper() + word[1:]]
 
 
 def deletes(word: str, most: int = DELETES) -> set[str]:
@@ -353,7 +357,7 @@ def _observe(scans: DataFrame) -> DataFrame:
                 rows += [(key, "break", b.line, None, (b.left + b.right).lower(), None, None, b.left, b.sign, b.next_line, b.right, None) for b in page.breaks]
                 sequence = [w.lower() for _, _, w in page.words]
                 for k, (line, start, word) in enumerate(page.words):
-                    if len(word) >= 3 and not word.isdigit():
+                    if not word.isdigit() and (len(word) >= 3 or len(word) == 2 and not word.isalpha()):
                         rows.append((key, "word", line, start, word, sequence[k - 1] if k else "", sequence[k + 1] if k + 1 < len(sequence) else "", *[None] * 4, mixed(word)))
             columns = list(zip(*rows)) or [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS)], names=_FIELDS)
@@ -381,7 +385,7 @@ def _corrections(observed: DataFrame, words: DataFrame) -> DataFrame:
     """(read, meant, n_read, n_meant) of the words of scans and lexicon words that confusions may turn into them."""
     read = observed.where("kind = 'word'").select(F.lower("word").alias("word")).distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     # A word whose spelling is frequent in the corpus cannot be outweighed; the ratio decides, not a cap.
-    known = words.where("n >= 2 AND word NOT LIKE '%-%' AND length(word) >= 3")
+    known = words.where("n >= 2 AND word NOT LIKE '%-%' AND length(word) >= 2")
     a = _exploded(read).toDF("entry", "read", "n_read")
     b = _exploded(known).toDF("entry", "meant", "n_meant")
     near = F.abs(F.length("read") - F.length("meant")) <= 2
