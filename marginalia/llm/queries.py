@@ -50,6 +50,10 @@ def p3_findings(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d)
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "parsed_documents"), "parsed_id", "extracted_text", "file_type", "page_count")
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     lists = table(spark, d, "knowledge_objects").select("entities").unionAll(table(spark, d, "research_reports").select("important_entities"))
     return names.resolve(lists.select(F.explode("entities").alias("spelling")), table(spark, d, "name_aliases"))
@@ -69,6 +73,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return plain.same_looking(documents.unionByName(chunks))
 
 
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return plain.normalise(_texts(spark, d).select("kind", "key", "text").distinct(), "text", "plain_text").drop("text")
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    documents = plain.fingerprints(table(spark, d, "parsed_documents"), "document", "parsed_id", "extracted_text")
+    chunks = plain.fingerprints(table(spark, d, "document_chunks"), "chunk", "chunk_id", "text")
+    return plain.classes(stage(documents.unionByName(chunks), "marks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(*neardup.near_duplicates(_texts(spark, d), words=3, threshold=0.7))
 
@@ -104,7 +118,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_ledger, p3_found, p3_findings, p4_found, p4_entities, p5_found, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
+    found = [p1_found, p1_ledger, p3_found, p3_findings, p3_paragraphs, p4_found, p4_entities, p5_found, p5_forms, p5_classes, p6_found, p6_classes, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share]
     return {f.__name__: f for f in found}
 
 

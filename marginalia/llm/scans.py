@@ -225,8 +225,8 @@ def lines_of(text: str) -> list[str]:
 
 
 def is_scanned(file_type: str | None, page_count: int | None, text: str) -> bool:
-    """A PDF of several pages whose lines are as narrow as printed ones."""
-    if (file_type or "").lower() != "pdf" or (page_count or 0) < 2:
+    """A PDF whose lines are as narrow as printed ones; its pages are counted."""
+    if (file_type or "").lower() != "pdf" or (page_count or 0) < 1:
         return False
     lines = text.split("\n")
     return len(lines) >= LEAST_LINES and max(map(len, lines)) <= WIDEST
@@ -448,12 +448,13 @@ def _pair_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def findings(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> DataFrame:
-    """What is wrong in scanned texts: (id, line_no, kind, start, word, repair, next_line, right).
+    """What is wrong in scanned texts: (id, line_no, kind, start, word, repair, next_line, right, word_line).
 
     ``kind`` is ``header``, ``page_number``, ``hyphen`` (``word`` the joined word, ``right`` its part in ``next_line``) or
-    ``misread`` (``word`` as read, ``repair`` as meant; a word broken over lines stands in the line of the part that differs).
+    ``misread`` (``word`` as read from ``start`` in ``word_line`` on, ``repair`` as meant; ``line_no`` is the line of the part
+    of a broken word that differs).
     The lexicon and the counts of word pairs come from the texts of all rows, scanned or not. Rows that aren't PDFs
-    of at least two pages with narrow lines, and rows with a null id, text or page count, have no findings. A row
+    with narrow lines, and rows with a null id, text or page count, have no findings. A row
     delivered again counts once in the result.
     """
     rows = df.select(df[id_col].cast("string").alias("id"), df[pages_col].cast("int").alias("pages"), df[text_col].alias("text"), df[type_col].alias("type")).where("text IS NOT NULL")
@@ -465,7 +466,7 @@ def findings(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col
 
         return pd.Series([is_scanned(k, None if p != p else p, t) for k, p, t in zip(kind, pages, text)])
 
-    scans = rows.where("id IS NOT NULL AND pages >= 2 AND lower(type) = 'pdf'").where(scanned("type", "pages", "text")).select("id", "pages", "text").distinct()
+    scans = rows.where("id IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").where(scanned("type", "pages", "text")).select("id", "pages", "text").distinct()
     observed = stage(_observe(scans), "observed")
     words = stage(lexicon(rows), "lexicon")
 
@@ -503,14 +504,85 @@ def findings(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col
     known = words.select(F.col("word").alias("read"), F.col("n").alias("n_read"))
     marked = marked.join(known, "read", "left").withColumn("repair", F.coalesce("meant", F.when(F.coalesce("n_read", F.lit(0)) < 20, F.lower("repair")))).where("repair IS NOT NULL AND repair <> word")
     in_left = F.col("left").isNull() | ~F.startswith(F.lower("repair"), F.lower("left"))
-    misread = marked.select("id", F.when(in_left, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit("misread").alias("kind"), "start", "word", "repair", "next_line", F.lit(None).cast("string").alias("right"))
+    misread = marked.select("id", F.when(in_left, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit("misread").alias("kind"), "start", "word", "repair", "next_line", F.lit(None).cast("string").alias("right"), F.col("line_no").alias("word_line"))
 
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("word", "string"), ("repair", "string"), ("next_line", "int"), ("right", "string"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("word", "string"), ("repair", "string"), ("next_line", "int"), ("right", "string"), ("word_line", "int"))]
     pages = observed.where("kind IN ('header', 'page_number')").select("id", "line_no", "kind", *empty)
-    broken = hyphens.select("id", "line_no", F.lit("hyphen").alias("kind"), empty[0], "word", empty[2], "next_line", "right")
+    broken = hyphens.select("id", "line_no", F.lit("hyphen").alias("kind"), empty[0], "word", empty[2], "next_line", "right", empty[5])
     return pages.unionByName(broken).unionByName(misread).withColumnRenamed("id", id_col)
 
 
+def _recased(word: str, repair: str) -> str:
+    """``repair`` in the case of ``word``."""
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) > 1 and sum(map(str.isupper, letters)) > len(letters) / 2:
+        return repair.upper()
+    return repair[:1].upper() + repair[1:] if word[:1].isupper() and not word[:2] == "I" + word[1:2].lower() or repair[:1].isupper() else repair
+
+
+def paragraphs(text: str, found: list[dict]) -> list[str]:
+    """The paragraphs of a text with ``found`` (rows of ``findings``) repaired.
+
+    Furniture is left out, broken words are joined, misread ones replaced; lines are joined by spaces. A
+    paragraph begins after a blank line, with an indent, and after a line that ends early before one with a capital.
+    """
+    lines = lines_of(text)
+    drop = {f["line_no"] for f in found if f["kind"] in ("header", "page_number")}
+    joined = {f["line_no"]: f for f in found if f["kind"] == "hyphen"}
+    tails = {f["next_line"]: f["right"] for f in joined.values()}
+    read: dict[int, list[dict]] = {}
+    for f in found:
+        if f["kind"] == "misread":
+            read.setdefault(f["word_line"], []).append(f)
+    width = max((len(x) for i, x in enumerate(lines) if i not in drop), default=0)
+    out: list[str] = []
+    fresh, last = True, ""
+    for i, line in enumerate(lines):
+        if i in drop:
+            continue
+        raw = line
+        if not line.strip():
+            fresh = True
+            continue
+        if i in joined:
+            m = _END.search(line)
+            line = line[: m.start(2)] + joined[i]["right"] if m else line
+        for f in sorted(read.get(i, ()), key=lambda f: -f["start"]):
+            at = f["start"]
+            if line[at : at + len(f["word"])] == f["word"]:
+                line = line[:at] + _recased(f["word"], f["repair"]) + line[at + len(f["word"]) :]
+        if i in tails:
+            line = line.lstrip()
+            line = line[len(tails[i]) :] if line.startswith(tails[i]) else line
+        early = len(last) < 0.75 * width and raw.strip()[:1].isupper() and i not in tails
+        if fresh or (raw[:1].isspace() and i not in tails) or early:
+            out.append(line.strip())
+        else:
+            glue = "" if i in tails and line[:1] in ".,;:!?)" or not line else " "
+            out[-1] = f"{out[-1]}{glue}{line.strip()}"
+        fresh, last = False, raw
+    return [p for p in out if p]
+
+
+def repair(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> DataFrame:
+    """(id, paragraph_no, paragraph): the continuous paragraphs of the scanned texts; other rows have none."""
+    found = stage(findings(df, id_col, text_col, type_col, pages_col), "findings")
+    # A text's findings are fewer than its words: a list of bounded size.
+    lists = found.groupBy(id_col).agg(F.collect_list(F.struct("line_no", "kind", "start", "word", "repair", "next_line", "right", "word_line")).alias("found"))
+    rows = df.select(df[id_col].cast("string").alias(id_col), df[text_col].alias("text"), df[type_col].alias("type"), df[pages_col].cast("int").alias("pages"))
+    rows = rows.where("text IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").distinct().join(lists, id_col, "left").select(id_col, "text", "type", "pages", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, numbers, made = [], [], []
+            for key, text, kind, pages, own in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, p in enumerate(paragraphs(text, own or []) if is_scanned(kind, pages, text) else []):
+                    keys.append(key), numbers.append(k), made.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), pa.array(made, pa.string())], names=["id", "paragraph_no", "paragraph"])
+
+    return rows.mapInArrow(run, "id string, paragraph_no int, paragraph string").withColumnRenamed("id", id_col)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _pairs_udf(before, read, meant, after):  # type: ignore[no-untyped-def]
     import pandas as pd
