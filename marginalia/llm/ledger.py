@@ -23,7 +23,8 @@ ENTRY, FIELD, LIST = "\u001f", "\u001e", "\u001d"
 
 def canonical(entry: Column) -> Column:
     """Letters and digits of ``entry`` in order, ignoring case ('ß' as 'ss'); null for null."""
-    return F.regexp_replace(F.lower(F.upper(entry)), r"[^\p{L}\p{N}]+", "")
+    folded = F.translate(F.replace(F.lower(entry), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "")
 
 
 def canonical_list(entries: Column) -> Column:

@@ -123,7 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_PLAIN = r"regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_PLAIN = r"regexp_replace(translate(replace(lower({}), 'ß', 'ss'), 'ςſ', 'σs'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _KEYS = f"""k AS (SELECT DISTINCT 'knowledge' AS kind, chunk_id AS record_key, array_to_string(list_sort(list_transform(entities, lambda e: coalesce({_PLAIN.format('e')}, ''))), chr(31)) AS canon
     FROM knowledge_objects WHERE len(entities) >= 3 UNION ALL
     SELECT DISTINCT 'report', report_id, array_to_string(list_sort(list_transform(important_entities, lambda e: coalesce({_PLAIN.format('e')}, ''))), chr(31)) || chr(29) ||

@@ -570,7 +570,7 @@ def repair(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col:
     # A text's findings are fewer than its words: a list of bounded size.
     lists = found.groupBy(id_col).agg(F.collect_list(F.struct("line_no", "kind", "start", "word", "repair", "next_line", "right", "word_line")).alias("found"))
     rows = df.select(df[id_col].cast("string").alias(id_col), df[text_col].alias("text"), df[type_col].alias("type"), df[pages_col].cast("int").alias("pages"))
-    rows = rows.where("text IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").distinct().join(lists, id_col, "left").select(id_col, "text", "type", "pages", "found")
+    rows = rows.where(f"{id_col} IS NOT NULL AND text IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").distinct().join(lists, id_col, "left").select(id_col, "text", "type", "pages", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
