@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from marginalia.functions.dialect import N, W, strip
 
 #: Between the parts of a fingerprint and of a chunk's name.
 SEPARATOR = "\x1f"
+#: Two private characters, in no class that a pattern here has.
+MARK, NO_MARK = "\ue000", "\ue001"
 # Fixed value: the namespace of chunk ids.
 CHUNK_NAMESPACE = "9d88b7ba-292c-52a3-92d8-2140592f8be9"
 
@@ -64,9 +68,12 @@ def chunk_id(print_: Column, start: Column, end: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """Matches of ``pattern`` as array<struct<start, end, value>> in order; null for null.
 
-    Offsets are sums of lengths, as positions that Java gives count UTF-16 units.
+    Offsets are sums of lengths, as positions that Java gives count UTF-16 units. What lies between the matches is
+    parted at a mark set in place of each (``split`` by the pattern itself would compile it for every row); the mark's
+    own occurrences become another private character first, of the same length.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    marked = F.regexp_replace(F.translate(text, MARK, NO_MARK), pattern, MARK)
+    gaps = F.transform(F.split(marked, MARK, -1), lambda g: F.length(g))
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     # Length of text before match i: gaps 0 to i and matches before i.
     pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
@@ -86,9 +93,14 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, where a lambda within would evaluate it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def apart(spans_: Column, reserved: Column) -> Column:
     """The spans that share no position with any of ``reserved``."""
-    return F.filter(spans_, lambda s: ~F.exists(reserved, lambda r: overlaps(s, r)))
+    return let(reserved, lambda taken: F.filter(spans_, lambda s: ~F.exists(taken, lambda r: overlaps(s, r))))
 
 
 def merged(spans_: Column) -> Column:

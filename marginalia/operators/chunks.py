@@ -92,29 +92,31 @@ def chunk(documents: DataFrame, config: ChunkingConfig | None = None, strategy:
     """
     keep = ["filename", "file_type", "extracted_text", "page_count", "word_count", "character_count", "metadata"]
     more = [] if config else ["max_chars", "overlap_chars", "min_chunk_chars"]
-    checked = spread(documents.select(*keep, *more)).withColumn("error", document_error())
-    good = _spans_array(checked.where("error IS NULL"), config, strategy).withColumn("print", T.fingerprint(F.col("filename"), F.col("file_type"), F.col("extracted_text")))
-    rows = good.select("*", F.posexplode("spans").alias("chunk_index", "span"))
+    rows = spread(documents.select(*keep, *more)).withColumn("error", document_error())
+    if strict:
+        rows = errors.strictly(rows).withColumn("error", F.lit(None).cast("struct<code:string,message:string>"))
+    valid = F.col("error").isNull()
+    rows = _spans_array(rows.withColumn("extracted_text", F.when(valid, F.col("extracted_text"))), config, strategy)
+    rows = rows.withColumn("print", F.when(valid, T.fingerprint(F.col("filename"), F.col("file_type"), F.col("extracted_text"))))
+    rows = rows.select("*", F.posexplode_outer("spans").alias("chunk_index", "span"))
+    # A valid text without spans has an invalid configuration.
+    bad = F.struct(F.lit("invalid_config").alias("code"), F.lit("sizes of the row are no configuration").alias("message"))
+    rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("span").isNull(), bad)))
     text = F.expr("substring(extracted_text, span.start_char + 1, span.end_char - span.start_char)")
-    nested = F.struct(F.col("file_type").alias("source_file_type"), F.col("metadata").alias("source_metadata"))
+    nested = F.when(F.col("span").isNotNull(), F.struct(F.col("file_type").alias("source_file_type"), F.col("metadata").alias("source_metadata")))
     made = rows.withColumn("text", text).select(
-        T.chunk_id(F.col("print"), F.col("span.start_char"), F.col("span.end_char")).alias("chunk_id"),
+        F.when(F.col("span").isNotNull(), T.chunk_id(F.col("print"), F.col("span.start_char"), F.col("span.end_char"))).alias("chunk_id"),
         F.col("filename").alias("document_filename"),
         "chunk_index",
         "text",
         F.col("span.start_char").alias("start_char"),
         F.col("span.end_char").alias("end_char"),
-        T.word_count(F.col("text")).alias("word_count"),
+        F.when(F.col("span").isNotNull(), T.word_count(F.col("text"))).alias("word_count"),
         T.character_count(F.col("text")).alias("character_count"),
         nested.alias("metadata"),
+        "error",
     )
-    if strict:
-        # The failing row must be seen even by a caller that reads none of its columns.
-        bad = errors.strictly(checked.where("error IS NOT NULL")).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema))
-        return made.unionByName(bad)
-    blank = F.lit(None).cast("struct<code:string,message:string>")
-    bad = checked.where("error IS NOT NULL").select(*(F.col("filename").alias(f.name) if f.name == "document_filename" else F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema), "error")
-    return made.withColumn("error", blank).unionByName(bad)
+    return made.drop("error") if strict else made
 
 
 def invariants(spans: DataFrame, lengths: DataFrame, id_col: str, config: ChunkingConfig) -> DataFrame:

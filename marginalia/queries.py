@@ -37,7 +37,7 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
         F.initcap("c_mktsegment"), F.lit(" Order Desk billed $"), price, F.lit(" on "), day, F.lit(". Invoice Ledger is a record of order. See http://shop.example/o/"),
         F.col("o_orderkey").cast("string"), F.lit(" and [order]("), F.lit("http://shop.example/p/"), F.col("o_custkey").cast("string"), F.lit(") for detail."),
     )
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    orders, customers = spread(table(spark, d, "orders")), table(spark, d, "customer")
     return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("o_orderkey").alias("key"), note.alias("text"))
 
 

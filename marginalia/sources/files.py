@@ -69,12 +69,21 @@ def batches(df: DataFrame) -> DataFrame:
     return lists.select("upload_id", "upload_timestamp", F.lit("uploaded").alias("status"), F.transform("files", lambda f: f.dropFields("file_no")).alias("files"))
 
 
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(path) of the files of length 0, which a scan passes over; they are in the listing that the driver made for it."""
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return listed.join(files.select(plain(F.col("path")).alias("_seen")), plain(F.col("path")) == F.col("_seen"), "left_anti")
+
+
 def ingest(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
     """Files below ``path`` as an upload batch: one row a file, with its error; content isn't read.
 
     An empty folder gives no rows. The batch's id is new on every execution of the frame.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    none = _empty_files(spark, files).select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    files = files.unionByName(none)
     name = safe_name(F.col("path"))
     types = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))
     rows = files.select("path", name.alias("filename"), types[suffix(name)].alias("content_type"), F.col("length").alias("file_size"), F.col("modificationTime").alias("upload_timestamp"))
@@ -134,8 +143,9 @@ def parse(spark: SparkSession, path: str, pdf: PdfReader | None = None, strict:
     ``strict`` the first error raises.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("filename", safe_name(F.col("path"))).withColumn("suffix", suffix(F.col("filename")))
-    none = F.lit(None).cast(_ERROR)
+    none = _empty_files(spark, files).select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
+    files = files.unionByName(none).withColumn("filename", safe_name(F.col("path"))).withColumn("suffix", suffix(F.col("filename")))
+    fine = F.lit(None).cast(_ERROR)
     known = files.where(F.col("suffix").isin(*EXTENSIONS) & (F.col("length") > 0))
     plain = known.where(F.col("suffix").isin(".txt", ".md"))
     decoded = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), r"\A\x{FEFF}", ""))
@@ -144,7 +154,7 @@ def parse(spark: SparkSession, path: str, pdf: PdfReader | None = None, strict:
         decoded.alias("extracted_text"),
         F.lit(None).cast("int").alias("page_count"),
         F.expr("cast(map() AS map<string,string>)").alias("metadata"),
-        F.when(decoded.isNull(), F.struct(F.lit("text_decoding").alias("code"), F.lit("not UTF-8").alias("message"))).otherwise(none).alias("error"),
+        F.when(decoded.isNull(), F.struct(F.lit("text_decoding").alias("code"), F.lit("not UTF-8").alias("message"))).otherwise(fine).alias("error"),
     )
     word = _binary(known.where("suffix = '.docx'"), "docx", lambda content: (lambda t: (t[0], None, t[1]))(docx.read(content)))  # type: ignore[arg-type, return-value]
     portable = _binary(known.where("suffix = '.pdf'"), "pdf", pdf or pdf_library())
