@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.dialect import N, W, strip
+from marginalia.functions.dialect import N, WS_CHARS, W, strip
 
 #: Between the parts of a fingerprint and of a chunk's name.
 SEPARATOR = "\x1f"
@@ -19,7 +19,8 @@ CHUNK_NAMESPACE = "9d88b7ba-292c-52a3-92d8-2140592f8be9"
 
 def words(text: Column) -> Column:
     """The maximal runs without white space, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({N}+)"), F.lit(1))
+    # One character for all white space lets the split go without a pattern.
+    return F.array_remove(F.split(F.translate(text, WS_CHARS, " " * len(WS_CHARS)), " ", -1), "")
 
 
 def word_count(text: Column) -> Column:

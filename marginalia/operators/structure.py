@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions.dialect import N, S, strip
-from marginalia.functions.text import title_case
+from marginalia.functions.text import title_case, words
 
 BULLET = rf"(?U)^{S}*(?:[-*+•]{S}+|\d+[.)]{S}+)"
 ATX_HEADING = rf"^{S}{{0,3}}#{{1,6}}{S}+{N}"
@@ -33,7 +33,7 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _kind(line: Column, next_blank: Column) -> Column:
     text = strip(line)
-    short = (F.length(text) <= HEADING_CHARS) & (F.size(F.regexp_extract_all(text, F.lit(f"({N}+)"), F.lit(1))) <= HEADING_WORDS)
+    short = (F.length(text) <= HEADING_CHARS) & (F.size(words(text)) <= HEADING_WORDS)
     bare = short & ~F.right(text, F.lit(1)).isin(*NO_HEADING_END) & next_blank & (line.rlike(NUMBERED) | title_case(text))
     return F.when(text == "", "blank").when(line.rlike(ATX_HEADING), "heading").when(line.rlike(BULLET), "list").when(bare, "heading").otherwise("paragraph")
 
