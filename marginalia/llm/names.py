@@ -33,12 +33,14 @@ tom thomas; tommy thomas; tim timothy; timmy timothy; vicky victoria; tori victo
 # Abbreviations of words in names of organisations.
 ABBREVIATIONS = """
 inst institute; lab laboratory; labs laboratory; laboratories laboratory; fdn foundation; found foundation; assoc association; assn association; corp corporation; co company; center centre; ctr centre;
-cntr centre; soc society; appl applied; mater materials; mat materials; stud studies; wtr water; univ university; dept department; dep department; dpt department; agcy agency; agy agency; cncl council;
+cntr centre; soc society; u university; appl applied; mater materials; mat materials; stud studies; wtr water; univ university; dept department; dep department; dpt department; agcy agency; agy agency; cncl council;
 hlth health; publ public; pub public; rec records; recs records; std standards; stds standards; stand standards; transp transport; trans transport; plan planning; plng planning; planng planning;
 sci science; sys systems; syst systems; en energy; engy energy; enrgy energy; mar marine; acoust acoustics; acous acoustics; res research; rsch research; test testing; tstg testing; rur rural; agric agriculture;
 bros brothers; intl international; natl national; govt government; mgmt management; tech technology
 """
-TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "dame", "herr", "frau", "mme", "phd", "jr", "sr", "dipl", "ing"}
+TITLES = {"dr", "prof", "professor", "mr", "mrs", "miss", "herr", "frau", "mme", "phd", "jr", "sr", "dipl", "ing"}
+#: Titles that are other words too, unless they come first.
+FIRST_TITLES = {"ms", "sir", "dame"}
 SMALL_WORDS = {"the", "for", "of", "and", "de", "des", "der", "für", "fur", "et", "y", "und"}
 LEGAL = {"gmbh": "gmbh", "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "sa": "sa", "llc": "llc", "plc": "plc", "ag": "ag"}
 #: What is left of a link's weight for each kind of rewriting; a weight is divided by the originals that compete.
@@ -113,29 +115,35 @@ class Rules:
         raw = _WORD.findall(re.sub(r"(?i)\bs\.\s?a\.?(?=\W|$)", " sa ", spaced))
         words = [fold(w) for w in raw]
         upper = sum(w.isupper() for w in raw) == len(raw)
-        kept = [(w, r) for w, r in zip(words, raw) if w not in TITLES and (w not in SMALL_WORDS)]
+        first = 1 if words and words[0] in FIRST_TITLES else 0
+        kept = [(w, r) for w, r in zip(words[first:], raw[first:]) if w not in TITLES and w not in SMALL_WORDS]
         long = [(w, r) for w, r in kept if len(w) > 2 or len(w) == 2 and w in self.given and not (r.isupper() and not upper)]
         initials = "".join(w for w, r in kept if (w, r) not in long)
         tokens = [w for w, _ in long]
         legal = [LEGAL[w] for w, _ in kept if w in LEGAL]
         typed = any(w in self.full_words or w in self.word for w in tokens)
-        if legal or len(tokens) > 2 or typed and len(tokens) + len(initials) > 2:
+        if legal and len(kept) > 2 or len(tokens) > 2 or typed and len(tokens) + len(initials) > 2:
             return self._organisation([w for w, _ in kept if w not in LEGAL], legal)
         return self._person(tokens, initials)
 
     def _person(self, tokens: list[str], initials: str) -> list[tuple[str, str, str, str]]:
         found: list[tuple[str, str, str, str]] = []
         if len(tokens) == 2:
-            for pair in product(*(self.given.get(t, {t}) for t in tokens)):
+            # A short form may be a full name of its own, or a typing error of another.
+            for pair in product(*({t, *self.given.get(t, ())} for t in tokens)):
                 a, b = sorted(pair)
                 found.append(("same", f"{a} {b}", "", "full"))
                 for fixed, open_ in ((a, b), (b, a)):
                     found += [("letters", f"{fixed} {d}", open_, "full") for d in _without_one(open_)]
                     found.append(("initials", f"{fixed} {open_[0]}", "", "full"))
+                    if initials:
+                        found.append(("both_initials", f"{fixed} {open_[0]}{initials[0]}", "", "full"))
                     found += [("near_initials", f"{d} {open_[0]}", fixed, "full") for d in _without_one(fixed)]
         elif len(tokens) == 1 and initials:
             s, i = tokens[0], initials[0]
             found.append(("initials", f"{s} {i}", "", "initials"))
+            if len(initials) > 1:
+                found.append(("both_initials", f"{s} {initials[:2]}", "", "initials"))
             found += [("near_initials", f"{d} {i}", s, "initials") for d in _without_one(s)]
         elif tokens:
             found.append(("same", " ".join(sorted(tokens)), "", "full"))
@@ -236,12 +244,14 @@ def links(forms: DataFrame) -> DataFrame:
 def _initials(forms: DataFrame, roots: DataFrame) -> DataFrame:
     """Links of names with initials or an acronym to the one original that they fit; initials that fit none, to each other."""
     short = forms.where("level = 'initials'")
-    people = forms.where("level = 'full' AND kind IN ('initials', 'near_initials', 'acronym')").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    people = forms.where("level = 'full' AND kind IN ('both_initials', 'initials', 'near_initials', 'acronym')").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     acronyms = forms.where("kind = 'same'").select("form", F.col("name").alias("b")).join(people.where("kind = 'acronym'").select("form", "root").distinct(), "form").select("b", "root", F.lit(0).alias("far"))
     exact = short.where("kind = 'initials'").select("form", F.col("name").alias("b")).join(people.where("kind = 'initials'").select("form", "root").distinct(), "form").select("b", "root", F.lit(0).alias("far"))
+    # Two initials that fit say more than the first alone.
+    both = short.where("kind = 'both_initials'").select("form", F.col("name").alias("b")).join(people.where("kind = 'both_initials'").select("form", "root").distinct(), "form").select("b", "root", F.lit(-1).alias("far"))
     pairs = short.where("kind = 'near_initials'").select("form", F.col("name").alias("b"), F.col("detail").alias("y")).join(people.where("kind = 'near_initials'").select("form", F.col("root").alias("a"), F.col("detail").alias("x")).distinct(), "form")
     near = _verified(pairs.select("a", "b", F.lit("letters").alias("kind"), "x", "y").distinct()).select("b", F.col("a").alias("root"), F.lit(1).alias("far"))
-    fits = exact.unionByName(near).unionByName(acronyms).groupBy("b", "root").agg(F.min("far").alias("far"))
+    fits = both.unionByName(exact).unionByName(near).unionByName(acronyms).groupBy("b", "root").agg(F.min("far").alias("far"))
     # Surnames spelled alike come before those that differ in a letter.
     closest = fits.groupBy("b").agg(F.min("far").alias("least"))
     fits = fits.join(closest, "b").where("far = least").groupBy("b").agg(F.min("root").alias("a"), (F.lit(WEIGHTS["initials"]) / F.count("*")).alias("score"))
