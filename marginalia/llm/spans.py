@@ -140,7 +140,6 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("span must be at least 4 characters")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id IS NOT NULL").where(F.length("text") >= span)
     id_type = docs.schema["id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     lengths = [span // 4, span // 2]
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +231,6 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = left.where(F.col("n") > hot).select("gram", "id", "lo", "piece").mapInArrow(each_window, f"gram bigint, id {id_type}, lo int, window bigint")
     several = large.groupBy("gram", "window").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram", "window")
     found = found.unionByName(large.join(several, ["gram", "window"]).select("id", F.col("lo").alias("start_char"), (F.col("lo") + span).alias("end_char")))
-    assert arrow_id is not None
     return merge_spans(found).withColumnRenamed("id", id_col)
 
 
