@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia import errors
 from marginalia.functions import text as T
+from marginalia.functions.dialect import WS_CHARS
 from marginalia.operators import chunks, extract, structure, timestamps
 from marginalia.operators.planner import ChunkingConfig
 from marginalia.plans import report
@@ -293,7 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ---------------------------------------------------------------- SQL
 
 _W = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_CHARS = " || ".join(f"chr({ord(c)})" for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　")
+_CHARS = " || ".join(f"chr({ord(c)})" for c in WS_CHARS)
 _SENTENCES = rf"""SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?s)(.*?\.)(?:[{_W}]|$)', 1), lambda s: trim(s, {_CHARS}))) AS sentence,
   generate_subscripts(regexp_extract_all(text, '(?s)(.*?\.)(?:[{_W}]|$)', 1), 1) AS n FROM documents"""
 _LINES = """SELECT parsed_id, i - 1 AS line_no, raw, start_char, n FROM (
