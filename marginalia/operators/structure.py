@@ -81,3 +81,19 @@ def boundaries(groups_: DataFrame, lengths: DataFrame, id_col: str) -> DataFrame
     none = F.expr("cast(array() AS array<int>)")
     hard = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("starts", none), F.array(F.col("n").cast("int")))))
     return lengths.join(own, id_col, "left").select(id_col, hard.alias("hard"), F.array_sort(F.array_distinct(F.coalesce("items", none))).alias("soft"))
+
+
+def last_between(positions: Column, above: Column, upto: Column) -> Column:
+    """The greatest of ``positions`` above ``above`` and not above ``upto``; null if there is none."""
+    return F.array_max(F.filter(positions, lambda p: (p > above) & (p <= upto)))
+
+
+def first_between(positions: Column, least: Column, upto: Column) -> Column:
+    """The least of ``positions`` from ``least`` to ``upto``; null if there is none."""
+    return F.array_min(F.filter(positions, lambda p: (p >= least) & (p <= upto)))
+
+
+def nearest(positions: Column, target: Column, least: Column, below: Column) -> Column:
+    """The one of ``positions`` from ``least`` to before ``below`` that is nearest to ``target``, of two the smaller; null if there is none."""
+    inside = F.filter(positions, lambda p: (p >= least) & (p < below))
+    return F.array_min(F.transform(inside, lambda p: F.struct(F.abs(p - target).alias("distance"), p.alias("at"))))["at"]

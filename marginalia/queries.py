@@ -15,7 +15,7 @@ from marginalia.operators import chunks, extract, structure, timestamps
 from marginalia.operators.planner import ChunkingConfig
 from marginalia.plans import report
 from marginalia.providers import completion
-from marginalia.runtime import spread, stage, table
+from marginalia.runtime import health, spread, stage, table
 from marginalia.schemas import ANSWER_COLLECTIONS, COLLECTIONS
 from marginalia.sources import files
 
@@ -117,6 +117,14 @@ def _configured(spark: SparkSession, d: str) -> DataFrame:
     return documents.join(F.broadcast(table(spark, d, "chunking_configs")), "config_id")
 
 
+def c5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Of the starts of a document's stored chunks the last and first on each side of its middle, and the nearest to it."""
+    starts = _chunks(spark, d).groupBy("parsed_id").agg(F.collect_set("start_char").alias("starts"), F.max("end_char").alias("n"))
+    middle = F.floor(F.col("n") / 2).cast("int")
+    lookups = {"last_start": structure.last_between(F.col("starts"), F.lit(-1), middle), "first_start": structure.first_between(F.col("starts"), middle, F.col("n")), "nearest_start": structure.nearest(F.col("starts"), middle, F.lit(0), F.col("n"))}
+    return starts.select("parsed_id", *(c.alias(k) for k, c in lookups.items()))
+
+
 def c12_spans(spark: SparkSession, d: str) -> DataFrame:
     return chunks.plan(_configured(spark, d), "parsed_id", "extracted_text")
 
@@ -249,6 +257,10 @@ def _uploads(spark: SparkSession, d: str) -> DataFrame:
     return first.agg(*(F.min_by(c, "received_at").alias(c) for c in ("filename", "content_type", "file_size", "upload_timestamp", "status")))
 
 
+def s2_health(spark: SparkSession, d: str) -> DataFrame:
+    return health(spark)
+
+
 def s5_upload_checks(spark: SparkSession, d: str) -> DataFrame:
     """Names and sizes of every upload; with a limit of 40,000 bytes some batches are rejected as a whole."""
     found = files.check_uploads(_uploads(spark, d), ["upload_id"], most=40_000)
@@ -284,9 +296,9 @@ def p2_readings(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        t1_word_count, t2_character_count, t3_lines, t5_line_kinds, t8_sentences, t9_fingerprint, t10_chunk_ids, t11_metadata, g1_groups, g3_boundaries, c12_spans, c14_document_errors, c15_invariants,
+        t1_word_count, t2_character_count, t3_lines, t5_line_kinds, t8_sentences, t9_fingerprint, t10_chunk_ids, t11_metadata, g1_groups, g3_boundaries, c5_nearest, c12_spans, c14_document_errors, c15_invariants,
         c16_chunks, k1_knowledge, k4_entities, k5_facts, k6_definitions, k7_dates, k8_metrics, k9_references, k10_merged, e1_chunk_errors, e3_knowledge_errors, l5_answers, r2_distinct, r3_findings,
-        r4_timeline, r5_summary, r7_markdown, s5_upload_checks, s7_stored_names, s9_batches, p2_found, p2_readings,
+        r4_timeline, r5_summary, r7_markdown, s2_health, s5_upload_checks, s7_stored_names, s9_batches, p2_found, p2_readings,
     ]
     return {f.__name__: f for f in found}
 
@@ -327,6 +339,9 @@ def oracle_sql() -> dict[str, str]:
         "c14_document_errors": f"""SELECT parsed_id, CASE WHEN NOT coalesce(regexp_matches(filename, '[^{_W}]'), false) OR NOT coalesce(file_type IN ('pdf', 'docx', 'md', 'txt'), false) OR page_count < 0
             OR NOT coalesce(word_count >= 0 AND character_count >= 0, false) THEN 'invalid_document' WHEN NOT coalesce(regexp_matches(extracted_text, '[^{_W}]'), false) THEN 'empty_text'
             WHEN character_count <> length(extracted_text) OR word_count <> len(regexp_extract_all(extracted_text, '[^{_W}]+')) THEN 'invalid_document' END AS error_code FROM parsed_documents""",
+        "c5_nearest": f"""WITH c AS ({_CHUNKS}), d AS (SELECT parsed_id, CAST(max(end_char) // 2 AS INT) AS m, max(end_char) AS n FROM c GROUP BY parsed_id)
+            SELECT parsed_id, max(start_char) FILTER (start_char <= m) AS last_start, min(start_char) FILTER (start_char >= m AND start_char <= n) AS first_start,
+            arg_min(start_char, abs(start_char - m) * 100000 + start_char) FILTER (start_char >= 0 AND start_char < n) AS nearest_start FROM c JOIN d USING (parsed_id) GROUP BY parsed_id""",
         "c15_invariants": "SELECT parsed_id, 0 AS first_char, CAST(length(extracted_text) AS INT) AS last_char, CAST(0 AS BIGINT) AS n_broken FROM parsed_documents WHERE length(extracted_text) > 0",
         "k4_entities": f"""SELECT o_orderkey AS key, CAST(p AS INT) AS pos, CASE p WHEN 0 THEN upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' Order Desk' ELSE 'Invoice Ledger' END AS value
             {_NOTES} CROSS JOIN (VALUES (0), (1)) v(p)""",
@@ -357,6 +372,7 @@ def oracle_sql() -> dict[str, str]:
         "r5_summary": f"""WITH k AS ({_KNOWN}) SELECT parsed_id, 'Research Report' AS title, 'Research report generated from ' || count(*) || ' extracted knowledge objects.' AS executive_summary,
             CAST(sum(coalesce(len(facts), 0)) AS INT) AS n_findings, CAST(count(DISTINCT chunk_id) * 0 + len(list_distinct(flatten(list(coalesce(entities, []))))) AS INT) AS n_entities,
             CAST(len(list_distinct(flatten(list(coalesce(refs, []))))) AS INT) AS n_refs FROM k GROUP BY parsed_id""",
+        "s2_health": "SELECT 'healthy' AS status, 'marginalia' AS service, '0.1.0' AS version",
         "s5_upload_checks": f"""WITH u AS ({_FIRST_UPLOADS}), e AS (SELECT *, CASE WHEN filename IS NULL OR filename = '' OR {_NAME} IN ('', '.', '..') THEN 'upload_validation'
             WHEN NOT regexp_matches(lower({_NAME}), '[^.].*\\.(pdf|docx|md|txt)$|^[^.]\\.(pdf|docx|md|txt)$') THEN 'unsupported_type' WHEN file_size > 40000 THEN 'upload_too_large' END AS error_code FROM u)
             SELECT upload_id, file_no, error_code, CASE error_code WHEN 'upload_validation' THEN 400 WHEN 'unsupported_type' THEN 415 WHEN 'upload_too_large' THEN 413 END AS http_status,

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia import __version__
+
 #: Setting that names the folder shared by all executors.
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,6 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def health(spark: SparkSession) -> DataFrame:
+    """One row: status, service and version."""
+    return spark.sql("SELECT :s AS status, :n AS service, :v AS version", {"s": "healthy", "n": "marginalia", "v": __version__})
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as a parquet table in the shared folder and read back.
 

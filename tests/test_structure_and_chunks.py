@@ -101,3 +101,13 @@ def test_broken_spans_are_reported(spark):
     lengths = spark.createDataFrame([(1, 20), (2, 10), (3, 30)], "id int, n int")
     found = sorted(map(tuple, chunks.invariants(spans, lengths, "id", config).collect()))
     assert found == [(1, "gap"), (2, "cover"), (3, "size")]
+
+
+def test_boundary_lookups(spark):
+    df = spark.createDataFrame([([0, 5, 9, 14], 7)], "p array<int>, t int")
+    lit = F.lit
+    r = df.select(
+        structure.last_between(F.col("p"), lit(0), F.col("t")).alias("last"), structure.first_between(F.col("p"), F.col("t"), lit(20)).alias("first"), structure.nearest(F.col("p"), F.col("t"), lit(0), lit(14)).alias("near"),
+        structure.last_between(F.col("p"), lit(5), F.col("t")).alias("no_last"), structure.first_between(F.col("p"), lit(15), lit(20)).alias("no_first"), structure.nearest(F.col("p"), F.col("t"), lit(10), lit(14)).alias("no_near"),
+    ).first()
+    assert tuple(r) == (5, 9, 5, None, None, None)
