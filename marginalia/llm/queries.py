@@ -123,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSEEN = r"\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("\uff07", "")
+_ALIKE = [x + y + z for x, y, z in zip((_WIDE, "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)), ("".join(plain.LOOKALIKES), "".join(plain.LOOKALIKES.values())), (plain.SPACES, " " * len(plain.SPACES)))]
 _PLAIN = r"regexp_replace(translate(replace(lower({}), 'ß', 'ss'), 'ςſ', 'σs'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _KEYS = f"""k AS (SELECT DISTINCT 'knowledge' AS kind, chunk_id AS record_key, array_to_string(list_sort(list_transform(entities, lambda e: coalesce({_PLAIN.format('e')}, ''))), chr(31)) AS canon
     FROM knowledge_objects WHERE len(entities) >= 3 UNION ALL
@@ -145,4 +148,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT parsed_id, chunk_index, 'overlap' FROM j WHERE start_char < previous - overlap_chars UNION
             SELECT parsed_id, chunk_index, 'inside_word' FROM j WHERE end_char > 0 AND end_char < length(t) AND NOT regexp_matches(substr(t, end_char, 2), '{_WHITE}')
               AND regexp_matches(substr(t, start_char + 1, end_char - start_char), '{_WHITE}')""",
+        "p5_found": f"""WITH t AS (SELECT 'document' AS kind, parsed_id AS key, extracted_text AS text FROM parsed_documents UNION SELECT 'chunk', chunk_id, text FROM document_chunks),
+            p AS (SELECT kind, key, text, nfc_normalize(replace(replace(replace(replace(translate(regexp_replace(text, '[{_UNSEEN}]', '', 'g'), '{_ALIKE[0]}', '{_ALIKE[1]}'), chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(65287), chr(39))) AS plain FROM t WHERE text IS NOT NULL)
+            SELECT a.kind, a.key AS key_a, b.key AS key_b FROM p a JOIN p b ON a.kind = b.kind AND a.plain = b.plain AND a.key < b.key AND a.text <> b.text""",
+        "p6_found": f"""WITH t AS (SELECT 'document' AS kind, parsed_id AS key, parsed_id AS doc, extracted_text AS text FROM parsed_documents UNION SELECT 'chunk', chunk_id, parsed_id, text FROM document_chunks),
+            w AS (SELECT kind, key, doc, list_filter(string_split_regex(lower(text), '{_WHITE}+'), lambda x: x <> '') AS w FROM t),
+            s AS (SELECT kind, key, doc, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+            u AS (SELECT kind, key, doc, len(s) AS n, unnest(s) AS shingle FROM s),
+            p AS (SELECT a.kind, a.key AS key_a, b.key AS key_b, a.n AS x, b.n AS y, count(*) AS common FROM u a JOIN u b ON a.kind = b.kind AND a.shingle = b.shingle AND a.key < b.key AND a.doc <> b.doc GROUP BY ALL)
+            SELECT kind, key_a, key_b FROM p WHERE 10 * common >= 7 * (x + y - common)""",
+        "p10_found": """WITH w AS (SELECT doc_id, i AS a, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+            r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), m AS (SELECT doc_id, a, max(a) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200 AS b FROM w SEMI JOIN r USING (h)),
+            g AS (SELECT doc_id, a, sum(CASE WHEN a <= b THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM m)
+            SELECT doc_id, CAST(min(a) AS INT) AS start_char, CAST(max(a) + 200 AS INT) AS end_char FROM g GROUP BY doc_id, g""",
     }
