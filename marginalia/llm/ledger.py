@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from marginalia.runtime import shared_folder
 
+#: Fewest buckets of a ledger; more where the session shuffles into more partitions.
 BUCKETS = 16
 #: Parts of a canonical key; letters and digits cannot hold them.
 ENTRY, FIELD, LIST = "\u001f", "\u001e", "\u001d"
@@ -76,8 +77,9 @@ class Ledger:
 
     SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "canon", "keep_key")] + [T.StructField("n_copies", T.LongType())])
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.path = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
         self.parts: dict[int, str] = {}
 

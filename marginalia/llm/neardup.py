@@ -30,8 +30,9 @@ LEAST_WORDS = 20
 #: only steer work: with more collisions the order of shingles and the filter get coarser, the result stays.
 COUNTERS = 1 << 25
 FILTER_BITS = 1 << 24
-#: A shingle is frequent above this count, in addition to thrice the mean of a counter.
-FREQUENT = 12
+#: A shingle is frequent above this count, in addition to thrice the mean of a counter. Counters whose mean is above
+#: FULL tell nothing any more, and no shingle counts as frequent.
+FREQUENT, FULL = 12, 60
 #: Bits of each class's parity map.
 PARITY_BITS = 1024
 _MEMO = 300_000
@@ -126,7 +127,8 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
             own[at] = np.minimum(own[at] + n, 255)
 
     counts = gather(rows.select("kind", "text"), count, counters, "uint8", saturating_sum)
-    frequent = min(FREQUENT + 3 * int(counts.mean()), 250)
+    mean = float(counts.mean())
+    frequent = FREQUENT + 3 * int(mean) if mean <= FULL else 255
     shared = records.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
