@@ -16,7 +16,7 @@ SUMMARY = "Research report generated from %d extracted knowledge objects."
 DISTINCT = {"entities": "important_entities", "definitions": "important_definitions", "metrics": "important_metrics", "refs": "refs"}
 
 
-def numbered(df: DataFrame, order: list[str], by: list[str], out: str = "number", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], by: list[str], out: str = "number", parts: int | None = None) -> DataFrame:
     """``df`` with the 1-based number of each row within ``by`` in the order of ``order``.
 
     With ``by`` empty the rows are range-partitioned and written with the number of their range, then numbered within
@@ -24,6 +24,7 @@ def numbered(df: DataFrame, order: list[str], by: list[str], out: str = "number"
     """
     if by:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
