@@ -49,7 +49,7 @@ FILTER_BITS = 1 << 24
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: A word as read, which may hold signs that stand for letters.
 _READ = re.compile(r"[!|]?[^\W_]+(?:['’!|][^\W_]+)*")
-_COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
+_COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(rf"((?:[^\W_]|[!|](?=[^\W_]))+)([{HYPHENS}])\s*$")
 _FIRST = re.compile(r"\s*((?:[^\W_]|[!|](?=[^\W_]))+)")
@@ -96,19 +96,51 @@ _HEAD_LEFT = re.compile(r"([\dlIOSBZ]+|[ivxlc]+)\s{1,}(\S.*)")
 _HEAD_RIGHT = re.compile(r"(.*\S)\s{1,}([\dlIOSBZ]+|[ivxlc]+)")
 
 
-def _near(a: str, b: str) -> bool:
-    """Whether two running heads are the same but for a few misread characters."""
-    if a == b:
-        return True
-    if not a or not b or abs(len(a) - len(b)) > 2 or a[0] != b[0] and a[-1] != b[-1]:
-        return False
-    most = max(1, len(a) // 10)
+def _distance(a: str, b: str) -> int:
+    """Edits of one character between two words."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= 2 * most
+    return row[-1]
+
+
+def _near(a: str, b: str) -> bool:
+    """Whether two running heads are the same but for a few misread characters; their words are as many."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 2:
+        return False
+    x, y = a.split(), b.split()
+    if len(x) != len(y):
+        return False
+    differ = [(p, q) for p, q in zip(x, y) if p != q]
+    if len(differ) > max(1, len(x) // 2):
+        return False
+    return sum(_distance(p, q) for p, q in differ) <= 2 * max(1, len(a) // 10)
+
+
+def _promising(numbers: list[list[tuple[str, int]]], heads: list[list[tuple[str, int | None]]]) -> list[bool]:
+    """Which lines may be furniture: those that can be page numbers, and those whose head another line has too."""
+    ends: dict[tuple[int, str], set[int]] = {}
+    for i, ways in enumerate(heads):
+        for text, _ in ways:
+            ends.setdefault((0, text[:3]), set()).add(i)
+            ends.setdefault((1, text[-3:]), set()).add(i)
+    exact = Counter(t for ways in heads for t in {text for text, _ in ways})
+    sizes = [{len(text) for text, _ in ways} for ways in heads]
+
+    def repeated(i: int) -> bool:
+        for text, _ in heads[i]:
+            if exact[text] > 1:
+                return True
+            for j in ends[0, text[:3]] | ends[1, text[-3:]]:
+                if j != i and any(abs(len(text) - n) <= 2 for n in sizes[j]) and any(_near(text, other) for other, _ in heads[j]):
+                    return True
+        return False
+
+    return [bool(numbers[i]) or repeated(i) for i in range(len(numbers))]
 
 
 def furniture(lines: list[str], pages: int) -> dict[int, str]:
@@ -136,8 +168,12 @@ def furniture(lines: list[str], pages: int) -> dict[int, str]:
                 ways += [(m[rest].casefold(), v) for v in {_value(m[number]), _roman(m[number])} - {None}]
         heads.append(ways)
 
+    promising = _promising(numbers, heads)
+
     def series(at: list[int | None]) -> dict[int, str]:
         best: dict[int, str] = {}
+        if sum(i is not None and promising[i] for i in at) < 2:
+            return best
         counting: dict[tuple[str, int], list[int]] = {}
         for k, i in enumerate(at):
             if i is not None:
@@ -319,12 +355,25 @@ def deletes(word: str, most: int = DELETES) -> set[str]:
     return found
 
 
-def _pair(a: str, b: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{a} {b}") - (1 << 63)
+class _Parts(dict):
+    """The lower-case words of each run without white space, with their hashes and compounds; runs repeat, so they are kept."""
+
+    def __missing__(self, raw: str) -> tuple[list[str], list[int], list[str]]:
+        if len(self) >= 100_000:
+            self.clear()
+        words = [w.lower() for w in _TOKEN.findall(raw)]
+        self[raw] = found = words, [xxhash.xxh3_64_intdigest(w) for w in words], [w.lower() for w in _COMPOUND.findall(raw) if "-" in w]
+        return found
+
+
+_parts = _Parts()
 
 
-def _words(text: str) -> list[str]:
-    return [w.lower() for w in _TOKEN.findall(text)]
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of neighbouring words from the words' hashes."""
+    h = first * np.uint64(0x9E3779B97F4A7C15) + second
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
@@ -334,7 +383,11 @@ def lexicon(texts: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                counts.update({w.lower() for w in _TOKEN.findall(text)} | {w.lower() for w in _COMPOUND.findall(text)})
+                found: set[str] = set()
+                for raw in set(text.split()):
+                    words, _, compounds = _parts[raw]
+                    found.update(words, compounds)
+                counts.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -437,8 +490,8 @@ def _pair_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bits.value
         for batch in batches:
-            hashes = [_pair(a, b) for text in batch.column(0).to_pylist() for w in [_words(text)] for a, b in zip(w, w[1:])]
-            h = np.array(hashes, np.int64)
+            texts = [np.array([x for raw in text.split() for x in _parts[raw][1]], np.uint64) for text in batch.column(0).to_pylist()]
+            h = np.concatenate([np.empty(0, np.int64), *(_pairs(w[:-1], w[1:]) for w in texts if len(w) > 1)])
             at = h.view(np.uint64) % np.uint64(FILTER_BITS)
             h = h[(own[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             values, n = np.unique(h, return_counts=True)
@@ -587,7 +640,9 @@ def repair(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col:
 def _pairs_udf(before, read, meant, after):  # type: ignore[no-untyped-def]
     import pandas as pd
 
-    return pd.Series([[_pair(b, r), _pair(r, a), _pair(b, m), _pair(m, a)] for b, r, m, a in zip(before, read, meant, after)])
+    hashed = [np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) for words in (before, read, meant, after)]
+    b, r, m, a = hashed
+    return pd.Series(np.column_stack([_pairs(b, r), _pairs(r, a), _pairs(b, m), _pairs(m, a)]).tolist())
 
 
 @F.pandas_udf(T.DoubleType())
