@@ -48,9 +48,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str, kind: str, words: int = WORDS, least: int = LEAST_WORDS) -> np.ndarray | None:
-    """Hashes of the different sequences of ``words`` lower-cased words, sorted; None below ``least`` words."""
+    """Hashes of the different sequences of ``words`` lower-cased words, sorted; None below ``least`` words.
+
+    A text of fewer than ``words`` words (none at all, too) that is not below ``least`` is the set of its whole sequence.
+    """
     tokens = text.lower().split()
-    if len(tokens) < max(least, words):
+    if len(tokens) < least:
         return None
     if len(_words) > _MEMO:
         _words.clear()
@@ -62,9 +65,9 @@ def shingles(text: str, kind: str, words: int = WORDS, least: int = LEAST_WORDS)
             h = _words[w] = hashed(w.encode("utf-8", "surrogatepass"))
         values.append(h)
     w = np.array(values, np.uint64)
-    n = len(w) - words + 1
+    n = max(1, len(w) - words + 1)
     h = np.full(n, xxhash.xxh3_64_intdigest(kind), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(w))):
         h = _mix(h * _K[k % len(_K)] + w[k : k + n])
     return np.unique(h)
 
@@ -113,8 +116,10 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
     Returns members (kind, key, doc, cls, n), one for each record with at least ``least_words`` words, and links
     (a, b, inter, n_a, n_b) between the different classes a < b of a kind with a similarity of at least
     ``threshold``. Records with equal sets share a class and are nowhere expanded into pairs. Words are maximal runs
-    without white space, lower-cased. Rows with a null key or text, and shorter texts, are no members; a row
-    delivered again counts once. Ids of classes are 64-bit hashes of the sets.
+    without white space, lower-cased. Rows with a null key and texts with fewer words are no members; a row
+    delivered again counts once. Ids of classes are 64-bit hashes of the sets. Where ``least_words`` is below ``words``,
+    a shorter text is the set of its whole sequence: in a class with those of the same words, similar to no other.
+    A null text is a member, of no class (null), only if ``least_words`` is 0.
     """
     t = Fraction(str(threshold))
     rows = spread(records.select("kind", "key", "doc", "text").where("key IS NOT NULL AND text IS NOT NULL"))
@@ -151,6 +156,9 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
 
     indexed = stage(rows.mapInArrow(index, _MEMBERS), "indexed")
     members = indexed.select("kind", "key", "doc", "cls", "n").distinct()
+    if least_words <= 0:
+        unknown = records.where("key IS NOT NULL AND text IS NULL").select("kind", "key", "doc").distinct()
+        members = members.unionByName(unknown.select("*", F.lit(None).cast("bigint").alias("cls"), F.lit(0).alias("n")))
     # Copies that other tasks sent meet in the partition of their entry and go on once.
     entries = indexed.select(F.explode("sigs").alias("sig"), "cls", "n").repartition("sig").dropDuplicates(["sig", "cls"])
     p, q = t.numerator, t.denominator
@@ -221,6 +229,6 @@ def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(kind, key, class_id, n_links): each record's class of equal sets and the number of similar other classes."""
+    """(kind, key, class_id, n_links): each record's class of equal sets (null for a null text) and the number of similar other classes."""
     ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     return members.join(ends, "cls", "left").select("kind", "key", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -88,7 +88,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.classes(*neardup.near_duplicates(_texts(spark, d)))
+    return neardup.classes(*neardup.near_duplicates(_texts(spark, d), least_words=0))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

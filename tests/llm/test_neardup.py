@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from marginalia.llm import neardup
+from marginalia.llm import neardup, queries
 
 
 def sets(text, words):
@@ -59,6 +59,25 @@ def test_classes_and_links(spark):
     assert members.count() == links.count() == 0
 
 
+def test_classes_have_every_record(spark):
+    texts = {"a": "One two\tthree", "b": "one TWO three", "c": "one two", "d": "one two three four five", "e": "One two three  four five", "f": "", "g": " \n", "h": None, "i": "one two three four five six", "j": "three two one", "k": "x " * 19, "l": "x " * 12}
+    rows = [("d", k, k, x) for k, x in texts.items()] + [("e", "a", "a", "one two three"), ("d", "h", "h", None), ("d", "a", "a", texts["a"]), ("d", None, "z", "one")]
+    df = spark.createDataFrame(rows, "kind string, key string, doc string, text string").repartition(3)
+    found = neardup.classes(*neardup.near_duplicates(df, least_words=0)).collect()
+    assert sorted((r.kind, r.key) for r in found) == sorted({r[:2] for r in rows if r[1]})
+    groups = {}
+    for r in found:
+        groups.setdefault(r.class_id, []).append(r.kind + r.key)
+    assert sorted(map(sorted, groups.values())) == [["da", "db"], ["dc"], ["dd", "de"], ["df", "dg"], ["dh"], ["di"], ["dj"], ["dk", "dl"], ["ea"]]
+    assert groups[None] == ["dh"] and not any(r.n_links for r in found)
+
+
+def test_query_has_a_row_for_every_record(spark, data):
+    records = {tuple(r) for r in queries._texts(spark, data).select("kind", "key").collect()}
+    found = [tuple(r) for r in queries.p6_classes(spark, data).select("kind", "key").collect()]
+    assert len(found) == len(records) and set(found) == records
+
+
 def test_parity_maps_differ_at_most_as_the_sets():
     rng = np.random.default_rng(1)
     for _ in range(50):
