@@ -46,25 +46,31 @@ def canonical_refs(refs: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(refs, fields)), ENTRY)
 
 
-def keyed(df: DataFrame, kind: str, key_col: str, canonical_key: Column) -> DataFrame:
-    """Records as the ledger takes them: (kind, record_key, canon), one for each key and canonical form.
+def keyed(df: DataFrame, kind: str, key_col: str, canonical_key: Column, entries: Column) -> DataFrame:
+    """Records as the ledger takes them: (kind, record_key, canon, n_entries), one for each key and canonical form.
 
     Records with a null key or a null list have no canonical form and are left out. A redelivered
     record with the same content counts once.
     """
-    rows = df.select(F.lit(kind).alias("kind"), df[key_col].cast("string").alias("record_key"), F.sha2(canonical_key, 256).alias("canon"))
+    rows = df.select(F.lit(kind).alias("kind"), df[key_col].cast("string").alias("record_key"), F.sha2(canonical_key, 256).alias("canon"), F.size(entries).alias("n_entries"))
     return rows.where("record_key IS NOT NULL AND canon IS NOT NULL").distinct()
 
 
-def knowledge_keys(df: DataFrame, least: int = 3) -> DataFrame:
-    """Knowledge objects with at least ``least`` entities, by their entities."""
-    return keyed(df.where(F.size("entities") >= least), "knowledge", "chunk_id", canonical_list(F.col("entities")))
+def knowledge_keys(df: DataFrame) -> DataFrame:
+    """Knowledge objects by their entities; an empty list is not the list of one entry without letters."""
+    entities = F.col("entities")
+    return keyed(df, "knowledge", "chunk_id", F.when(F.size(entities) == 0, F.lit(LIST)).otherwise(canonical_list(entities)), entities)
 
 
 def report_keys(df: DataFrame) -> DataFrame:
     """Reports by their important entities and references together."""
     both = F.concat(canonical_list(F.col("important_entities")), F.lit(LIST), canonical_refs(F.col("refs")))
-    return keyed(df, "report", "report_id", both)
+    return keyed(df, "report", "report_id", both, F.col("important_entities"))
+
+
+def counted(records: DataFrame, least: int = 3) -> DataFrame:
+    """The reports and the knowledge objects of at least ``least`` entities among ``records``."""
+    return records.where((F.col("kind") != "knowledge") | (F.col("n_entries") >= least))
 
 
 class Ledger:

@@ -1,9 +1,10 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import ledger, plain, splitting
+from marginalia.llm import ledger, plain, queries, splitting
 
 
 def knowledge(spark, rows):
@@ -17,6 +18,27 @@ def test_formatting_does_not_matter(spark):
     assert sorted(map(tuple, ledger.copies(keys, book).collect())) == [("knowledge", "a", "b"), ("knowledge", "e", "f")]
 
 
+def test_short_lists_are_in_the_ledger(spark):
+    rows = [("a", ["IBM"]), ("b", ["i.b.m."]), ("c", []), ("d", []), ("e", ["--"]), ("f", [None]), ("g", ["x", "y"]), ("h", ["Y", "X"]), ("i", ["x", "y", "z"]), ("j", ["x", "z", "y"]), ("k", None)]
+    keys = ledger.knowledge_keys(knowledge(spark, rows))
+    book = ledger.Ledger(spark).add(keys)
+    assert sorted((r.keep_key, r.n_copies) for r in book.rows().collect()) == [("a", 2), ("c", 2), ("e", 2), ("g", 2), ("i", 2)]
+    assert sorted(map(tuple, ledger.copies(ledger.counted(keys), book).collect())) == [("knowledge", "i", "j")]
+
+
+def test_copies_are_those_of_all_records(spark, data):
+    def plain_key(entry):
+        return "".join(c for c in (entry or "").lower().replace("ß", "ss").translate(str.maketrans("ςſ", "σs")) if unicodedata.category(c)[0] == "L" or unicodedata.category(c)[0] == "N")
+
+    rows = {(r.chunk_id, None if r.entities is None else tuple(r.entities)) for r in spark.read.parquet(f"{data}/knowledge_objects.parquet").select("chunk_id", "entities").collect()}
+    groups = {}
+    for key, entities in rows:
+        if entities is not None:
+            groups.setdefault(tuple(sorted(map(plain_key, entities))), set()).add(key)
+    found = sorted(tuple(r) for r in queries.p1_copies(spark, data).where("kind = 'knowledge'").select("keep_key", "n_copies").collect())
+    assert found == sorted((min(keys), len(keys)) for keys in groups.values())
+
+
 def test_references_are_sets_of_fields(spark):
     rows = [("r1", ["A"], ["a=1; b=2", "http://x"]), ("r2", ["a"], ["HTTP://X", "B=2|A=1;"]), ("r3", ["a"], ["b=2; a=1"]), ("r4", None, ["x"]), ("r5", ["a"], None)]
     keys = ledger.report_keys(spark.createDataFrame(rows, "report_id string, important_entities array<string>, refs array<string>"))
