@@ -1,18 +1,23 @@
 """Groups of near-duplicate records by prefixes of token combinations.
 
-Records are sets of word sequences (shingles). Two sets whose similarity reaches the threshold t have at least k
-shingles in common among the first |x| - ceil(t |x|) + k of each, in any order of shingles that is the same for
-all. The order here is from rare to frequent. Prefixes are extended to k = 2: a shared rare shingle is
-indexed alone, frequent ones only in pairs, so that a shingle of a template never brings together all records that
-use it. Either a rare shingle is shared, or two frequent ones and so their pair. The matches counted
-in the index bound the possible overlap, which leaves hardly any pair besides the true ones; these
-are verified on the whole sets.
+Records are sets of word sequences (shingles, the tokens of this index). Two sets whose similarity reaches the threshold
+t have at least k tokens in common among the first |x| - ceil(t |x|) + k of each, in any order of tokens that is the
+same for all. The order here is from rare to frequent. All tokens of these extended prefixes meet by token, which counts
+exactly how many sets have each: one that few sets share brings these together by itself; frequent ones do so
+only in combinations of k, so that a token of a template never brings together all records that use it. Either
+a rare token is shared, or k frequent ones and so their combination. The matches counted in the index bound the
+possible overlap, which leaves hardly any pair besides the true ones; these are verified on the whole sets.
+
+Nothing here depends on the corpus being small: whether a token is rare is counted, not estimated. Only the
+order is estimated (from counters of fixed size), and by how far a counter stands out above what chance puts there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +25,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.sketch import gather, saturating_sum
+from marginalia.llm.sketch import Bits, merged, saturating_sum, slices
 from marginalia.runtime import spread, stage
 
 WORDS = 5
 THRESHOLD = 0.8
 LEAST_WORDS = 20
-#: Counters of the shingle frequencies (a byte each, staying at 255), and bits of the filter of texts to verify. Both
-#: only steer work: with more collisions the order of shingles and the filter get coarser, the result stays.
-COUNTERS = 1 << 25
-FILTER_BITS = 1 << 24
-#: A shingle is frequent above this count, in addition to thrice the mean of a counter. Counters whose mean is above
-#: FULL tell nothing any more, and no shingle counts as frequent.
-FREQUENT, FULL = 12, 60
+#: Tokens in a combination, and the sets that share a token up to which it is rare.
+COMBINED, FREQUENT = 2, 4
+#: Counters (32 bits each) of token frequencies, which decide the order of tokens and nothing else, and the most bits of
+#: the filter of texts to verify, which lets more through when full. Both are of fixed size and only steer work.
+COUNTERS = 1 << 23
+FILTER_BITS = 1 << 28
+#: Prefix tokens that one task sorts at once and, about, that meet in one bucket. Of the sets that have one
+#: token in such a part, those after the first HOT don't travel to the token's bucket: it is proved frequent already.
+PART, BUCKET, HOT = 1 << 20, 1 << 20, 64
 #: Bits of each class's parity map.
 PARITY_BITS = 1024
 _MEMO = 300_000
@@ -77,21 +84,135 @@ def _least_common(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, t: Fraction) -> np.ndarray:
-    """The index entries of a set: rare shingles of its prefix (even numbers) and pairs of frequent ones (odd)."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, t: Fraction, k: int = COMBINED) -> np.ndarray:
+    """The extended prefix of a set: its first tokens from rare to frequent."""
     n = len(tokens)
     seen = counts[(tokens % np.uint64(len(counts))).astype(np.int64)]
-    rank = np.log2(seen.astype(np.float64) + 1).astype(np.uint64)
+    rank = np.log2(np.maximum(seen - (mean + 4 * math.sqrt(mean)), 0) + 1).astype(np.uint64)
     order = np.argsort((rank << np.uint64(56)) | (tokens >> np.uint64(8)), kind="stable")
-    prefix = order[: min(n, n - _least_common(n, t) + 2)]
-    often = seen[prefix] > frequent
-    if _least_common(n, t) < 2:
-        often[:] = False
-    # What is counted once in the whole corpus is in no other record.
-    rare, common = tokens[prefix[~often & (seen[prefix] > 1)]], np.sort(tokens[prefix[often]])
-    i, j = np.triu_indices(len(common), 1)
-    pairs = _mix(common[i] * _K[0] + common[j] * _K[1])
-    return np.concatenate([rare & ~np.uint64(1), pairs | np.uint64(1)]).view(np.int64)
+    return tokens[order[: min(n, n - _least_common(n, t) + k)]]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of integers, all first bytes first: those that are zero compress to nothing in the exchange."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _integers(planes: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+_PACKED = "bucket int, known boolean, tokens binary, cls binary, n binary"
+
+
+def packed(tokens: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Entries (token, class, size of the set) by bucket (the first ``bits`` bits of the token), sorted and packed.
+
+    Tokens of more than HOT different classes are frequent: entries after these go on as ``known`` to be so, spread by class.
+    """
+    order = np.lexsort((cls, tokens))
+    tokens, cls, n = tokens[order], cls[order], n[order]
+    new = np.r_[True, (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])]
+    tokens, cls, n = tokens[new], cls[new], n[new]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    place = np.arange(len(tokens)) - np.repeat(first, np.diff(np.r_[first, len(tokens)]))
+    known = (place >= HOT) & (tokens & np.uint64(1) == 0)
+    rows = []
+    for flag, at in ((False, np.flatnonzero(~known)), (True, np.flatnonzero(known))):
+        bucket = ((cls[at].view(np.uint64) if flag else tokens[at]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
+        if flag:
+            order = np.argsort(bucket, kind="stable")
+            at, bucket = at[order], bucket[order]
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(bucket)) + 1) if len(at) else ():
+            i = at[own]
+            step = np.diff(tokens[i], prepend=np.uint64(0))
+            rows.append((int(bucket[own[0]]), flag, _planes(step), cls[i].tobytes(), _planes(n[i].astype(np.uint32))))
+    columns = list(zip(*rows)) or [()] * 5
+    types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types)], names=["bucket", "known", "tokens", "cls", "n"])
+
+
+_MET = "a bigint, b bigint, n_a int, n_b int, hits bigint, token bigint"
+
+
+def meet(table: pa.Table, t: Fraction, frequent: int) -> pa.Table:
+    """What meets in one bucket: pairs of classes with the rare tokens that they share, and the entries of frequent tokens.
+
+    The latter have the class as ``a``, its size as ``n_a`` and the token; a token with its lowest bit set is never frequent.
+    """
+    parts: list[list[np.ndarray]] = [[], [], []]
+    sure: list[list[np.ndarray]] = [[], [], []]
+    for known, tokens, cls, n in zip(*(table.column(c).to_pylist() for c in ("known", "tokens", "cls", "n"))):
+        for own, x in zip(sure if known else parts, (np.cumsum(_integers(tokens, np.uint64)), np.frombuffer(cls, np.int64), _integers(n, np.uint32).astype(np.int64))):
+            own.append(x)
+    tokens, cls, n = (np.concatenate(x) if x else np.empty(0, d) for x, d in zip(parts, (np.uint64, np.int64, np.int64)))
+    order = np.lexsort((cls, tokens))
+    tokens, cls, n = tokens[order], cls[order], n[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])  # copies that other tasks sent
+    tokens, cls, n = tokens[new], cls[new], n[new]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.r_[first, len(tokens)])
+    often = (sizes > frequent) & (tokens[first] & np.uint64(1) == 0)
+    p, q = t.numerator, t.denominator
+    found: list[np.ndarray] = []
+    for size in np.unique(sizes[~often & (sizes > 1)]).tolist():
+        at = first[~often & (sizes == size)]
+        for i in range(size):  # at most ``frequent`` but for sets that are shorter than a combination
+            for j in range(i + 1, size):
+                x, y = at + i, at + j
+                ok = (n[x] * q >= n[y] * p) & (n[y] * q >= n[x] * p)
+                found.append(np.stack([cls[x], cls[y], n[x], n[y]], 1)[ok])
+    pairs = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (pairs[1:, 1] != pairs[:-1, 1])
+    start = np.flatnonzero(new)
+    hits = np.diff(np.r_[start, len(pairs)])
+    pairs = pairs[start]
+    many = np.repeat(often, sizes)
+    entries = [np.concatenate([x[many], *y]) for x, y in zip((tokens, cls, n), sure)]
+    none, gone = pa.nulls(len(entries[0]), pa.int64()), pa.nulls(len(pairs), pa.int64())
+    columns = [
+        pa.chunked_array([pa.array(pairs[:, 0]), pa.array(entries[1])]),
+        pa.chunked_array([pa.array(pairs[:, 1]), none]),
+        pa.chunked_array([pa.array(pairs[:, 2].astype(np.int32)), pa.array(entries[2].astype(np.int32))]),
+        pa.chunked_array([pa.array(pairs[:, 3].astype(np.int32)), none.cast(pa.int32())]),
+        pa.chunked_array([pa.array(hits.astype(np.int64)), none]),
+        pa.chunked_array([gone, pa.array(entries[0].view(np.int64))]),
+    ]
+    return pa.table(columns, names=["a", "b", "n_a", "n_b", "hits", "token"])
+
+
+def combined(lists: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(sig, cls, n): every combination of k of a set's frequent tokens; input (cls, n, tokens)."""
+
+    def rows(sigs: list[np.ndarray], cls: list[int], n: list[int]) -> pa.RecordBatch:
+        each = [len(s) for s in sigs]
+        columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(cls, np.int64), each), np.repeat(np.array(n, np.int32), each)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "cls", "n"])
+
+    sigs, owners, sizes, held = [], [], [], 0
+    for batch in lists:
+        for cls, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.sort(np.array(tokens, np.int64).view(np.uint64))
+            # All combinations whose first k - 2 members are fixed come at once; a text's are never held together.
+            for lead in combinations(range(len(own)), k - 2):
+                after = own[lead[-1] + 1 :] if lead else own
+                i, j = np.triu_indices(len(after), 1)
+                h = _mix(after[i] * _K[0] + after[j] * _K[1])
+                for m in lead:
+                    h = _mix(h + own[m : m + 1] * _K[2])
+                sigs.append(h), owners.append(cls), sizes.append(n)
+                held += len(h)
+                if held >= 100_000:
+                    yield rows(sigs, owners, sizes)
+                    sigs, owners, sizes, held = [], [], [], 0
+    if sigs:
+        yield rows(sigs, owners, sizes)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -103,14 +224,20 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_MEMBERS = "kind string, key string, doc string, cls bigint, n int, mark bigint, sigs array<bigint>, bits array<bigint>"
+_SURVEYED = "kind string, key string, doc string, cls bigint, n int, mark bigint, bits array<bigint>, slice int, counts binary"
 
 
 def _mark(text: str, kind: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=len(kind)) - (1 << 63)
 
 
-def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def near_duplicates(
+    records: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, counters: int = COUNTERS, k: int = COMBINED, frequent: int = FREQUENT
+) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and links between similar ones, of ``records`` (kind, key, doc, text).
 
     Returns members (kind, key, doc, cls, n), one for each record with at least ``least_words`` words, and links
@@ -120,56 +247,95 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
     delivered again counts once. Ids of classes are 64-bit hashes of the sets. Where ``least_words`` is below ``words``,
     a shorter text is the set of its whole sequence: in a class with those of the same words, similar to no other.
     A null text is a member, of no class (null), only if ``least_words`` is 0.
+
+    ``k`` (2 or more) tokens make a combination; a token is ``frequent`` if more than so many sets have it in their prefix.
+    A set with c frequent tokens in its prefix has C(c, k) combinations, so a large family of edited versions of one long
+    text costs the square (for k = 2) of its prefix for each version.
     """
+    if k < 2:
+        raise ValueError("a combination has at least two tokens")
     t = Fraction(str(threshold))
+    # Sets so small that two similar ones may share fewer than k tokens also meet by single tokens, among themselves.
+    small = int((k - 1) / t)
+    spark = records.sparkSession
     rows = spread(records.select("kind", "key", "doc", "text").where("key IS NOT NULL AND text IS NOT NULL"))
 
-    def count(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        sets = [s for k, x in zip(kinds, texts) if (s := shingles(x, k, words, least_words)) is not None]
-        if sets:
-            at, n = np.unique((np.concatenate(sets) % np.uint64(counters)).astype(np.int64), return_counts=True)
-            own[at] = np.minimum(own[at] + n, 255)
-
-    counts = gather(rows.select("kind", "text"), count, counters, "uint8", saturating_sum)
-    mean = float(counts.mean())
-    frequent = FREQUENT + 3 * int(mean) if mean <= FULL else 255
-    shared = records.sparkSession.sparkContext.broadcast(counts)  # of fixed size
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done = np.zeros(counters, np.uint32), set()
+        types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = [f.split()[0] for f in _SURVEYED.split(", ")]
+        make = lambda found: pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(list(zip(*found)) or [()] * 9, types)], names=names)
         for batch in batches:
-            found = []
+            found, sets = [], []
             for kind, key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, kind, words, least_words)
                 if s is not None:
-                    cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    sigs, bits, n = None, None, len(s)
-                    if cls not in done:  # one copy of a class for each task goes on to the index
-                        sigs, bits = signatures(s, shared.value, frequent, t), parity(s)
+                    cls, bits = _class(s), None
+                    if cls not in done:  # copies in one task are counted once
+                        bits = parity(s)
+                        sets.append(s)
                         if len(done) < _MEMO:
                             done.add(cls)
-                    found.append((kind, key, doc, cls, n, _mark(text, kind), sigs, bits))
-            columns = list(zip(*found)) or [()] * 8
-            types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types)], names=["kind", "key", "doc", "cls", "n", "mark", "sigs", "bits"])
-
-    indexed = stage(rows.mapInArrow(index, _MEMBERS), "indexed")
+                    found.append((kind, key, doc, cls, len(s), _mark(text, kind), bits, None, None))
+            if sets:
+                at, n = np.unique((np.concatenate(sets) % np.uint64(counters)).astype(np.int64), return_counts=True)
+                own[at] = saturating_sum(own[at], n.astype(np.uint32), np.empty(len(at), np.uint32))
+            yield make(found)
+        yield make([(*[None] * 7, i, part) for i, part in slices(own)])
+
+    surveyed = stage(rows.mapInArrow(survey, _SURVEYED), "surveyed")
+    counts = merged(surveyed.where("slice IS NOT NULL").select("slice", F.col("counts").alias("n")), counters, "uint32", saturating_sum)
+    total = float(counts.sum(dtype=np.float64))
+    mean = total / counters
+    shared = spark.sparkContext.broadcast(counts)  # of fixed size
+    bits = max(0, math.ceil(math.log2(max(1.0, total * float(1 - t) / BUCKET))))
+
+    indexed = surveyed.where("slice IS NULL").drop("slice", "counts")
     members = indexed.select("kind", "key", "doc", "cls", "n").distinct()
     if least_words <= 0:
         unknown = records.where("key IS NOT NULL AND text IS NULL").select("kind", "key", "doc").distinct()
         members = members.unionByName(unknown.select("*", F.lit(None).cast("bigint").alias("cls"), F.lit(0).alias("n")))
-    # Copies that other tasks sent meet in the partition of their entry and go on once.
-    entries = indexed.select(F.explode("sigs").alias("sig"), "cls", "n").repartition("sig").dropDuplicates(["sig", "cls"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        tokens, cls, sizes, held = [], [], [], 0
+
+        def part() -> pa.RecordBatch:
+            each = [len(x) for x in tokens]
+            return packed(np.concatenate(tokens), np.repeat(np.array(cls, np.int64), each), np.repeat(np.array(sizes, np.int64), each), bits)
+
+        for batch in batches:
+            for kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(text, kind, words, least_words)
+                if s is None or (own := _class(s)) in done:
+                    continue
+                if len(done) < _MEMO:
+                    done.add(own)
+                found = prefix(s, shared.value, mean, t, k) & ~np.uint64(1)
+                if 1 < small and len(s) <= small:
+                    found = np.concatenate([found, s | np.uint64(1)])
+                tokens.append(found), cls.append(own), sizes.append(len(s))
+                held += len(found)
+                if held >= PART:
+                    yield part()
+                    tokens, cls, sizes, held = [], [], [], 0
+        if tokens:
+            yield part()
+
+    entries = rows.select("kind", "text").mapInArrow(index, _PACKED)
+    met = stage(entries.groupBy("bucket").applyInArrow(lambda table: meet(table, t, frequent), _MET), "met")
     p, q = t.numerator, t.denominator
+    # The frequent tokens of a set are at most its prefix.
+    often = met.where("token IS NOT NULL").groupBy(F.col("a").alias("cls"), F.col("n_a").alias("n")).agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= k)
+    sigs = often.mapInArrow(lambda batches: combined(batches, k), "sig bigint, cls bigint, n int")
     sized = (F.col("a") < F.col("b")) & (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    odd = F.col("sig").bitwiseAND(1) == 1
-    met = entries.toDF("sig", "a", "n_a").join(entries.toDF("sig", "b", "n_b"), "sig").where(sized)
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count_if(~odd).alias("rare"), F.count_if(odd).alias("pairs"))
-    # c pairs of frequent shingles come from the x common ones with x (x - 1) / 2 = c, at most 1 if c = 0. Of
-    # the shingles after a prefix (of all but ceil(t n) - 2) every one may be common.
-    common = F.col("rare") + F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2)
-    after = F.greatest(*(F.ceil(F.col(n) * p / F.lit(float(q)) - 1e-9) - 2 for n in ("n_a", "n_b")))
+    together = sigs.toDF("sig", "a", "n_a").join(sigs.toDF("sig", "b", "n_b"), "sig").where(sized).groupBy("a", "b", "n_a", "n_b").agg(F.lit(0).cast("bigint").alias("hits"), F.count("*").alias("combinations"))
+    met = met.where("token IS NULL").select("a", "b", "n_a", "n_b", "hits", F.lit(0).cast("bigint").alias("combinations")).unionByName(together)
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("rare"), F.sum("combinations").alias("combinations"))
+    # x common frequent tokens have C(x, k) >= (x - k + 1)^k / k! combinations. Of the tokens after a prefix (of
+    # all but ceil(t n) - k) every one may be common.
+    common = F.col("rare") + (k - 1) + F.floor(F.pow(F.col("combinations") * math.factorial(k), F.lit(1.0 / k)) + 1e-6)
+    after = F.greatest(*(F.ceil(F.col(n) * p / F.lit(float(q)) - 1e-9) - k for n in ("n_a", "n_b")))
     bound = (F.col("n_a") + F.col("n_b")) * p  # overlap * (p + q) >= bound
     met = met.where((common + F.greatest(after, F.lit(0))) * (p + q) >= bound).select("a", "b", "n_a", "n_b")
     # The parity maps' difference is at most that of the sets, which is at most (n_a + n_b) (q - p) / (q + p).
@@ -178,29 +344,22 @@ def near_duplicates(records: DataFrame, words: int = WORDS, threshold: float = T
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     candidates = stage(met.where(differ * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b", "n_a", "n_b"), "candidates")
 
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = stage(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
     marks = indexed.groupBy("cls").agg(F.min("mark").alias("mark")).join(needed, "cls").select("mark")
-
-    def put(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
-        np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8))
-
-    wanted = records.sparkSession.sparkContext.broadcast(gather(marks, put, FILTER_BITS // 8, "uint8", np.bitwise_or))  # of fixed size
+    wanted = spark.sparkContext.broadcast(Bits.of(marks, Bits.size(needed.count(), FILTER_BITS)))  # of bounded size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, done = wanted.value, set()
+        done: set[int] = set()
         for batch in batches:
             cls, found = [], []
-            for kind, text in zip(*(c.to_pylist() for c in batch.columns)):
-                m = _mark(text, kind)
-                at = (m + (1 << 64) if m < 0 else m) % FILTER_BITS
-                if bits[at >> 3] >> (at & 7) & 1 and m not in done:
-                    s = shingles(text, kind, words, least_words)
-                    if s is not None:
-                        if len(done) < _MEMO:
-                            done.add(m)
-                        cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                        found.append(s.tobytes())
+            kinds, texts = (c.to_pylist() for c in batch.columns)
+            marks = [_mark(text, kind) for kind, text in zip(kinds, texts)]
+            for i in np.flatnonzero(Bits.has(wanted.value, np.array(marks, np.int64))).tolist():
+                if marks[i] not in done and (s := shingles(texts[i], kinds[i], words, least_words)) is not None:
+                    if len(done) < _MEMO:
+                        done.add(marks[i])
+                    cls.append(_class(s))
+                    found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
     whole = rows.select("kind", "text").mapInArrow(sets, "cls bigint, shingles binary").join(needed, "cls", "left_semi").dropDuplicates(["cls"])

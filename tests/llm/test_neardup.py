@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import neardup, queries
@@ -38,14 +39,56 @@ def records(seed, n=150):
     return [*rows, ("chunk", "k900", "d900", None), ("chunk", "k901", "d901", ""), ("chunk", "k902", "d902", "a " * 40), ("chunk", "k903", "d903", "a " * 50), ("chunk", None, "d904", "a " * 50)]
 
 
-@pytest.mark.parametrize(("seed", "words", "threshold", "frequent"), [(1, 3, 0.7, 12), (2, 3, 0.7, 0), (3, 2, 0.5, 3), (4, 5, 0.8, 12)])
-def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, words, threshold, frequent):
-    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+@pytest.mark.parametrize(
+    ("seed", "words", "threshold", "frequent", "k", "counters"),
+    [(1, 3, 0.7, 4, 2, 1 << 12), (2, 3, 0.7, 0, 2, 1 << 12), (3, 2, 0.5, 3, 3, 1 << 12), (4, 5, 0.8, 1, 2, 8), (5, 1, 0.5, 2, 2, 1), (6, 1, 0.34, 1, 3, 64)],
+)
+def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, words, threshold, frequent, k, counters):
+    monkeypatch.setattr(neardup, "PART", 700)
+    monkeypatch.setattr(neardup, "BUCKET", 500)
+    monkeypatch.setattr(neardup, "HOT", max(frequent + 1, 3))
     rows = records(seed)
+    least = 1 if words == 1 else 8
+    if words == 1:
+        rows += [(kind, f"s{i:03}", f"d{i}", x) for i, x in enumerate(("a", "a b", "b a", "b", "a b c", "c b", "a a a")) for kind in ("document", "chunk")]
     df = spark.createDataFrame([*rows, *rows[:10]], "kind string, key string, doc string, text string").repartition(3)
-    found = neardup.near_duplicates(df, words=words, threshold=threshold, least_words=8, counters=1 << 12)
+    found = neardup.near_duplicates(df, words=words, threshold=threshold, least_words=least, counters=counters, k=k, frequent=frequent)
     pairs = {tuple(r) for r in neardup.similar_pairs(*found).collect()}
-    assert pairs == brute(rows, words, Fraction(str(threshold)), 8)
+    assert pairs == brute(rows, words, Fraction(str(threshold)), least)
+
+
+def test_full_counters_make_no_larger_index():
+    """The index holds the prefixes whatever the counters say; full ones only change the order."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(50)]
+    t, seen = Fraction(7, 10), np.zeros(1 << 16, np.uint32)
+    for s in sets:
+        seen[(s % np.uint64(1 << 16)).astype(np.int64)] += 1
+    template = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    many = seen.copy()
+    many[(template % np.uint64(1 << 16)).astype(np.int64)] = 4_000_000
+    for counts in (seen, seen + np.uint32(3_000_000), many + np.uint32(3_000_000)):
+        assert [len(neardup.prefix(s, counts, float(counts.mean()), t)) for s in sets] == [len(s) - -(-len(s) * 7 // 10) + 2 for s in sets]
+    # What stands out of the noise of full counters still comes last.
+    with_template = np.unique(np.concatenate([sets[0][:60], template]))
+    counts = many + rng.poisson(3_000_000, 1 << 16).astype(np.uint32)
+    assert not set(neardup.prefix(with_template, counts, float(counts.mean()), t).tolist()) & set(template.tolist())
+
+
+def test_combinations_do_their_part(spark, data):
+    """Tokens of very many sets stay bounded in their bucket, and all their combinations are made."""
+    rng = np.random.default_rng(3)
+    tokens = np.unique(rng.integers(0, 1 << 62, 12, dtype=np.uint64)) & ~np.uint64(1)
+    cls = np.arange(5000, dtype=np.int64)
+    batch = neardup.packed(np.tile(tokens, 5000), np.repeat(cls, len(tokens)), np.full(5000 * len(tokens), 40), 2)
+    here = [r for r in batch.to_pylist() if not r["known"]]
+    assert sum(len(r["cls"]) // 8 for r in here) == neardup.HOT * len(tokens)
+    met = neardup.meet(pa.Table.from_batches([batch]), Fraction(7, 10), 4)
+    assert met.num_rows == 5000 * len(tokens) and set(met.column("token").to_pylist()) == set(tokens.view(np.int64).tolist())
+    lists = pa.RecordBatch.from_pydict({"cls": [7], "n": [40], "tokens": [tokens.view(np.int64).tolist()]})
+    assert sum(b.num_rows for b in neardup.combined(iter([lists]), 2)) == 66
+    threes = pa.concat_arrays([b.column(0) for b in neardup.combined(iter([lists]), 3)])
+    assert len(threes) == len(threes.unique()) == 220
 
 
 def test_classes_and_links(spark):
