@@ -15,9 +15,10 @@ order is estimated (from counters of fixed size), and by how far a counter stand
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,16 @@ from marginalia.runtime import spread, stage
 WORDS = 5
 THRESHOLD = 0.8
 LEAST_WORDS = 20
-#: Tokens in a combination, and the sets that share a token up to which it is rare.
-COMBINED, FREQUENT = 2, 4
+#: Tokens in a combination; the part of all prefix entries that may be of frequent tokens, and the sets that share a token
+#: up to which it is rare in any case.
+COMBINED, SHARE, FREQUENT = 2, 0.01, 4
 #: Counters (32 bits each) of token frequencies, which decide the order of tokens and nothing else, and the most bits of
 #: the filter of texts to verify, which lets more through when full. Both are of fixed size and only steer work.
 COUNTERS = 1 << 23
 FILTER_BITS = 1 << 28
 #: Prefix tokens that one task sorts at once and, about, that meet in one bucket. Of the sets that have one
 #: token in such a part, those after the first HOT don't travel to the token's bucket: it is proved frequent already.
-PART, BUCKET, HOT = 1 << 20, 1 << 20, 64
+PART, BUCKET, HOT = 1 << 20, 1 << 18, 128
 #: Bits of each class's parity map.
 PARITY_BITS = 1024
 _MEMO = 300_000
@@ -132,13 +134,26 @@ def packed(tokens: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types)], names=["bucket", "known", "tokens", "cls", "n"])
 
 
-_MET = "a bigint, b bigint, n_a int, n_b int, hits bigint, token bigint"
+_MET = "a bigint, b bigint, n_a int, n_b int, hits bigint, token bigint, posting bigint"
 
 
-def meet(table: pa.Table, t: Fraction, frequent: int) -> pa.Table:
+def _limit(sizes: np.ndarray, frequent: int, share: float) -> int:
+    """The sets that share a token up to which it is rare, so that frequent tokens have ``share`` of the entries.
+
+    A bucket holds tokens by their hash, so its own sizes stand for those of the corpus. Entries that were held back from
+    their bucket are of tokens with at least HOT others, which are always frequent.
+    """
+    entries = np.bincount(sizes, weights=sizes, minlength=2)
+    above = entries.sum() - np.cumsum(entries)  # entries of tokens with more sets than the place says
+    fitting = int(np.argmax(above <= share * entries.sum()))
+    return min(max(frequent, fitting), HOT - 1)
+
+
+def meet(table: pa.Table, t: Fraction, frequent: int, share: float) -> pa.Table:
     """What meets in one bucket: pairs of classes with the rare tokens that they share, and the entries of frequent tokens.
 
-    The latter have the class as ``a``, its size as ``n_a`` and the token; a token with its lowest bit set is never frequent.
+    The latter have the class as ``a``, its size as ``n_a``, the token and a hash of the classes that have it. Where some of
+    these may not have come here (from HOT on) the token itself stands for them. A token with its lowest bit set is never frequent.
     """
     parts: list[list[np.ndarray]] = [[], [], []]
     sure: list[list[np.ndarray]] = [[], [], []]
@@ -155,12 +170,12 @@ def meet(table: pa.Table, t: Fraction, frequent: int) -> pa.Table:
     new[1:] = tokens[1:] != tokens[:-1]
     first = np.flatnonzero(new)
     sizes = np.diff(np.r_[first, len(tokens)])
-    often = (sizes > frequent) & (tokens[first] & np.uint64(1) == 0)
+    often = (sizes > _limit(sizes, frequent, share)) & (tokens[first] & np.uint64(1) == 0)
     p, q = t.numerator, t.denominator
     found: list[np.ndarray] = []
     for size in np.unique(sizes[~often & (sizes > 1)]).tolist():
         at = first[~often & (sizes == size)]
-        for i in range(size):  # at most ``frequent`` but for sets that are shorter than a combination
+        for i in range(size):  # below HOT but for sets that are shorter than a combination
             for j in range(i + 1, size):
                 x, y = at + i, at + j
                 ok = (n[x] * q >= n[y] * p) & (n[y] * q >= n[x] * p)
@@ -174,7 +189,9 @@ def meet(table: pa.Table, t: Fraction, frequent: int) -> pa.Table:
     hits = np.diff(np.r_[start, len(pairs)])
     pairs = pairs[start]
     many = np.repeat(often, sizes)
-    entries = [np.concatenate([x[many], *y]) for x, y in zip((tokens, cls, n), sure)]
+    posting = np.add.reduceat(_mix(cls.view(np.uint64) * _K[3]), first) if len(first) else tokens
+    posting = np.repeat(np.where(sizes < HOT, posting, tokens[first]), sizes)
+    entries = [np.concatenate([x[many], *y]) for x, y in zip((tokens, cls, n, posting), (*sure, sure[0]))]
     none, gone = pa.nulls(len(entries[0]), pa.int64()), pa.nulls(len(pairs), pa.int64())
     columns = [
         pa.chunked_array([pa.array(pairs[:, 0]), pa.array(entries[1])]),
@@ -182,37 +199,52 @@ def meet(table: pa.Table, t: Fraction, frequent: int) -> pa.Table:
         pa.chunked_array([pa.array(pairs[:, 2].astype(np.int32)), pa.array(entries[2].astype(np.int32))]),
         pa.chunked_array([pa.array(pairs[:, 3].astype(np.int32)), none.cast(pa.int32())]),
         pa.chunked_array([pa.array(hits.astype(np.int64)), none]),
-        pa.chunked_array([gone, pa.array(entries[0].view(np.int64))]),
+        *(pa.chunked_array([gone, pa.array(entries[x].view(np.int64))]) for x in (0, 3)),
     ]
-    return pa.table(columns, names=["a", "b", "n_a", "n_b", "hits", "token"])
+    return pa.table(columns, names=["a", "b", "n_a", "n_b", "hits", "token", "posting"])
 
 
 def combined(lists: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(sig, cls, n): every combination of k of a set's frequent tokens; input (cls, n, tokens)."""
+    """(sig, cls, n, weight): the combinations of k of a set's frequent tokens; input (cls, n, [(posting, token)]).
 
-    def rows(sigs: list[np.ndarray], cls: list[int], n: list[int]) -> pa.RecordBatch:
-        each = [len(s) for s in sigs]
-        columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(cls, np.int64), each), np.repeat(np.array(n, np.int32), each)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "cls", "n"])
+    Tokens that the same sets have are shared together or not at all, so each such group is combined as one and
+    ``weight`` tells how many combinations of tokens that is. All versions of one text have few groups, however long it is.
+    """
 
-    sigs, owners, sizes, held = [], [], [], 0
+    def rows(sigs: list[np.ndarray], weights: list[np.ndarray], cls: list[int], n: list[int]) -> pa.RecordBatch:
+        each = [len(s) for s in sigs]
+        columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(cls, np.int64), each), np.repeat(np.array(n, np.int32), each), np.concatenate(weights).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "cls", "n", "weight"])
+
+    def parts(own: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # All combinations whose first k - 2 members are fixed come at once; a text's are never held together.
+        for lead in combinations_with_replacement(range(len(own)), k - 2):
+            taken = np.bincount(np.array(lead, np.int64), minlength=len(own))
+            if (taken > m).any():
+                continue
+            least = lead[-1] if lead else 0
+            i, j = np.triu_indices(len(own) - least)
+            i, j = i + least, j + least
+            ways = np.where(i == j, m[i] * (m[i] - 1) // 2, m[i] * m[j])
+            if lead:  # which may take from these groups, too
+                ways = np.array([math.prod(math.comb(int(m[x]), c) for x, c in Counter([*lead, a, b]).items()) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+            h = _mix(own[i] * _K[0] + own[j] * _K[1])
+            for x in lead:
+                h = _mix(h + own[x : x + 1] * _K[2])
+            yield h[ways > 0], ways[ways > 0]
+
+    sigs, weights, owners, sizes, held = [], [], [], [], 0
     for batch in lists:
         for cls, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.sort(np.array(tokens, np.int64).view(np.uint64))
-            # All combinations whose first k - 2 members are fixed come at once; a text's are never held together.
-            for lead in combinations(range(len(own)), k - 2):
-                after = own[lead[-1] + 1 :] if lead else own
-                i, j = np.triu_indices(len(after), 1)
-                h = _mix(after[i] * _K[0] + after[j] * _K[1])
-                for m in lead:
-                    h = _mix(h + own[m : m + 1] * _K[2])
-                sigs.append(h), owners.append(cls), sizes.append(n)
+            own, m = np.unique(np.array([x["posting"] for x in tokens], np.int64).view(np.uint64), return_counts=True)
+            for h, ways in parts(own, m):
+                sigs.append(h), weights.append(ways), owners.append(cls), sizes.append(n)
                 held += len(h)
                 if held >= 100_000:
-                    yield rows(sigs, owners, sizes)
-                    sigs, owners, sizes, held = [], [], [], 0
+                    yield rows(sigs, weights, owners, sizes)
+                    sigs, weights, owners, sizes, held = [], [], [], [], 0
     if sigs:
-        yield rows(sigs, owners, sizes)
+        yield rows(sigs, weights, owners, sizes)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -236,7 +268,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def near_duplicates(
-    records: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, counters: int = COUNTERS, k: int = COMBINED, frequent: int = FREQUENT
+    records: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, counters: int = COUNTERS, k: int = COMBINED, frequent: int = FREQUENT, share: float = SHARE
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and links between similar ones, of ``records`` (kind, key, doc, text).
 
@@ -248,9 +280,9 @@ def near_duplicates(
     a shorter text is the set of its whole sequence: in a class with those of the same words, similar to no other.
     A null text is a member, of no class (null), only if ``least_words`` is 0.
 
-    ``k`` (2 or more) tokens make a combination; a token is ``frequent`` if more than so many sets have it in their prefix.
-    A set with c frequent tokens in its prefix has C(c, k) combinations, so a large family of edited versions of one long
-    text costs the square (for k = 2) of its prefix for each version.
+    ``k`` (2 or more) tokens make a combination. Tokens are frequent from the most frequent on as long as they have no
+    more than ``share`` of the prefix entries, but not with ``frequent`` sets or fewer, and always with HOT or more.
+    A set with c groups of frequent tokens (``combined``) in its prefix has about C(c, k) combinations.
     """
     if k < 2:
         raise ValueError("a combination has at least two tokens")
@@ -323,13 +355,13 @@ def near_duplicates(
             yield part()
 
     entries = rows.select("kind", "text").mapInArrow(index, _PACKED)
-    met = stage(entries.groupBy("bucket").applyInArrow(lambda table: meet(table, t, frequent), _MET), "met")
+    met = stage(entries.groupBy("bucket").applyInArrow(lambda table: meet(table, t, frequent, share), _MET), "met")
     p, q = t.numerator, t.denominator
     # The frequent tokens of a set are at most its prefix.
-    often = met.where("token IS NOT NULL").groupBy(F.col("a").alias("cls"), F.col("n_a").alias("n")).agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= k)
-    sigs = often.mapInArrow(lambda batches: combined(batches, k), "sig bigint, cls bigint, n int")
+    often = met.where("token IS NOT NULL").groupBy(F.col("a").alias("cls"), F.col("n_a").alias("n")).agg(F.collect_set(F.struct("posting", "token")).alias("tokens")).where(F.size("tokens") >= k)
+    sigs = often.mapInArrow(lambda batches: combined(batches, k), "sig bigint, cls bigint, n int, weight bigint")
     sized = (F.col("a") < F.col("b")) & (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    together = sigs.toDF("sig", "a", "n_a").join(sigs.toDF("sig", "b", "n_b"), "sig").where(sized).groupBy("a", "b", "n_a", "n_b").agg(F.lit(0).cast("bigint").alias("hits"), F.count("*").alias("combinations"))
+    together = sigs.toDF("sig", "a", "n_a", "weight").join(sigs.toDF("sig", "b", "n_b", "same_weight"), "sig").where(sized).groupBy("a", "b", "n_a", "n_b").agg(F.lit(0).cast("bigint").alias("hits"), F.sum("weight").alias("combinations"))
     met = met.where("token IS NULL").select("a", "b", "n_a", "n_b", "hits", F.lit(0).cast("bigint").alias("combinations")).unionByName(together)
     met = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("rare"), F.sum("combinations").alias("combinations"))
     # x common frequent tokens have C(x, k) >= (x - k + 1)^k / k! combinations. Of the tokens after a prefix (of

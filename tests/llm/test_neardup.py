@@ -52,7 +52,7 @@ def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, words, thresho
     if words == 1:
         rows += [(kind, f"s{i:03}", f"d{i}", x) for i, x in enumerate(("a", "a b", "b a", "b", "a b c", "c b", "a a a")) for kind in ("document", "chunk")]
     df = spark.createDataFrame([*rows, *rows[:10]], "kind string, key string, doc string, text string").repartition(3)
-    found = neardup.near_duplicates(df, words=words, threshold=threshold, least_words=least, counters=counters, k=k, frequent=frequent)
+    found = neardup.near_duplicates(df, words=words, threshold=threshold, least_words=least, counters=counters, k=k, frequent=frequent, share=1.0)
     pairs = {tuple(r) for r in neardup.similar_pairs(*found).collect()}
     assert pairs == brute(rows, words, Fraction(str(threshold)), least)
 
@@ -83,12 +83,21 @@ def test_combinations_do_their_part(spark, data):
     batch = neardup.packed(np.tile(tokens, 5000), np.repeat(cls, len(tokens)), np.full(5000 * len(tokens), 40), 2)
     here = [r for r in batch.to_pylist() if not r["known"]]
     assert sum(len(r["cls"]) // 8 for r in here) == neardup.HOT * len(tokens)
-    met = neardup.meet(pa.Table.from_batches([batch]), Fraction(7, 10), 4)
-    assert met.num_rows == 5000 * len(tokens) and set(met.column("token").to_pylist()) == set(tokens.view(np.int64).tolist())
-    lists = pa.RecordBatch.from_pydict({"cls": [7], "n": [40], "tokens": [tokens.view(np.int64).tolist()]})
-    assert sum(b.num_rows for b in neardup.combined(iter([lists]), 2)) == 66
-    threes = pa.concat_arrays([b.column(0) for b in neardup.combined(iter([lists]), 3)])
-    assert len(threes) == len(threes.unique()) == 220
+    met = neardup.meet(pa.Table.from_batches([batch]), Fraction(7, 10), 4, 0.01)
+    assert met.num_rows == 5000 * len(tokens) and set(met.column("posting").to_pylist()) == set(met.column("token").to_pylist()) and set(met.column("token").to_pylist()) == set(tokens.view(np.int64).tolist())
+    postings = {"alone": list(range(12)), "together": [5] * 12, "mixed": [1, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9]}
+    for name, own in postings.items():
+        lists = pa.RecordBatch.from_pydict({"cls": [7], "n": [40], "tokens": [[{"posting": p, "token": i} for i, p in enumerate(own)]]})
+        for k, all_ in ((2, 66), (3, 220), (4, 495)):
+            found = [r for b in neardup.combined(iter([lists]), k) for r in b.to_pylist()]
+            assert sum(r["weight"] for r in found) == all_ and len({r["sig"] for r in found}) == len(found)
+            assert (name, len(found)) in {("alone", all_), ("together", 1)} or len(found) < all_
+
+
+def test_frequent_tokens_have_their_share():
+    sizes = np.array([1] * 900 + [2] * 100 + [7] * 10 + [30] * 2)  # 1,230 entries
+    assert [neardup._limit(sizes, least, share) for least, share in ((0, 1.0), (4, 0.2), (4, 0.05), (0, 0.11), (0, 0.0), (200, 0.1))] == [0, 4, 7, 2, 30, neardup.HOT - 1]
+    assert neardup._limit(np.array([500]), 4, 0.01) == neardup.HOT - 1 and neardup._limit(np.array([], int), 4, 0.01) == 4
 
 
 def test_classes_and_links(spark):
