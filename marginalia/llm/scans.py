@@ -4,6 +4,10 @@ Three things are done, each over all documents: page furniture (running heads an
 from its recurrence page by page; words broken over lines are joined where the corpus knows the joined
 word; misread words are corrected by a symmetric-delete index over the corpus' frequency lexicon, weighing
 edits by pairs of characters that scanners confuse, and by the neighbouring words.
+
+The index is asked about different words, not about every occurrence: only words for which it knows a correction
+leave the pass over the scans' lines, with their neighbours. All decisions are ratios of counts, so they
+are the same for a corpus ten thousand times as large.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -21,9 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from marginalia.llm.sketch import gather
+from marginalia.llm.sketch import Bits
 from marginalia.runtime import spread, stage
 
 # What is printed and what scanners read for it, with the cost of the confusion.
@@ -37,20 +40,22 @@ CONFUSIONS = {
 #: Hyphens that only a broken word has, and the plain one, which compounds have too.
 BREAK_SIGNS = "¬­‐"
 HYPHENS = "-" + BREAK_SIGNS
-#: Widest line of a scanned page, and the fewest lines of a text that is looked at.
-WIDEST, LEAST_LINES = 100, 8
+#: Width of a printed line that at least half of a scanned text has at most; other lines may be wider.
+WIDEST = 100
 #: Edits that the index reaches, and the greatest cost of a correction.
 DELETES, GREATEST_COST = 2, 1.7
 #: How many times as frequent as the word read (in documents) its correction must be, before confusion cost and context.
 RATIO = 4.0
-#: Bits of the filter of word pairs whose counts are wanted; more collisions only count more pairs.
-FILTER_BITS = 1 << 24
+#: Most bits of the filters of words and of word pairs that are looked for; full ones only let more through.
+FILTER_BITS = 1 << 28
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: A word as read, which may hold signs that stand for letters.
 _READ = re.compile(r"[!|]?[^\W_]+(?:['’!|][^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SIGNS = re.compile(r"[!|]")
+_SENTENCE_END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
 _END = re.compile(rf"((?:[^\W_]|[!|](?=[^\W_]))+)([{HYPHENS}])\s*$")
 _FIRST = re.compile(r"\s*((?:[^\W_]|[!|](?=[^\W_]))+)")
 # What is around a page number.
@@ -64,7 +69,7 @@ _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 def _value(number: str) -> int | None:
     digits = number.translate(_DIGITS)
-    if digits.isdigit() and len(digits) < 6 and any(c.isdigit() for c in number + ("0" if set(number) <= set("lIO") and len(number) > 1 else "")):
+    if digits.isdecimal() and len(digits) < 1000 and any(c.isdigit() for c in number + ("0" if set(number) <= set("lIO") and len(number) > 1 else "")):
         return int(digits)
     return None
 
@@ -84,11 +89,10 @@ def page_numbers(line: str) -> list[tuple[str, int]]:
     """The ways to read a line as nothing but a page number: (style, value)."""
     found = []
     text = line.strip()
-    if 0 < len(text) <= 24:
-        for style, pattern in _NUMBERS:
-            if m := pattern.fullmatch(text):
-                for v in {_value(m[1]), _roman(m[1])} - {None}:
-                    found.append((style, v))
+    for style, pattern in _NUMBERS if text else ():
+        if m := pattern.fullmatch(text):
+            for v in {_value(m[1]), _roman(m[1])} - {None}:
+                found.append((style, v))
     return found
 
 
@@ -248,12 +252,14 @@ class Break(NamedTuple):
     right: str
 
 
-class Page(NamedTuple):
-    """The body of a scanned text: its lines without furniture, broken words and the other words in order."""
+class Word(NamedTuple):
+    """A word of the body; one that is broken stands as joined, in its first line, with its left part and next line."""
 
-    kinds: dict[int, str]
-    breaks: list[Break]
-    words: list[tuple[int, int, str]]  # line, start in the line, word; a broken word stands as joined, in its first line
+    line: int
+    start: int
+    text: str
+    left: str | None = None
+    next_line: int | None = None
 
 
 def lines_of(text: str) -> list[str]:
@@ -261,17 +267,21 @@ def lines_of(text: str) -> list[str]:
 
 
 def is_scanned(file_type: str | None, page_count: int | None, text: str) -> bool:
-    """A PDF whose lines are as narrow as printed ones; its pages are counted."""
+    """A PDF with counted pages whose lines are printed ones.
+
+    Lines follow each other in the middle of sentences more often than not, and half of the text or more stands on
+    lines no wider than ``WIDEST``.
+    """
     if (file_type or "").lower() != "pdf" or (page_count or 0) < 1:
         return False
-    lines = text.split("\n")
-    return len(lines) >= LEAST_LINES and max(map(len, lines)) <= WIDEST
+    lines = lines_of(text)
+    ends = [_SENTENCE_END.search(x) is None for x, y in zip(lines, lines[1:]) if x.strip() and y.strip()]
+    narrow = sum(len(x) for x in lines if len(x) <= WIDEST)
+    return 2 * sum(ends) > len(ends) and 2 * narrow >= sum(map(len, lines))
 
 
-def layout(text: str, pages: int) -> Page:
-    """Furniture, broken words and words of one scanned text."""
-    lines = lines_of(text)
-    kinds = furniture(lines, pages)
+def words_of(lines: list[str], kinds: Collection[int]) -> tuple[list[Break], list[Word]]:
+    """Broken words and all words in order, of the lines that are no furniture (``kinds``)."""
     body = [i for i, x in enumerate(lines) if i not in kinds and x.strip()]
     breaks, words = [], []
     taken: set[int] = set()
@@ -280,17 +290,18 @@ def layout(text: str, pages: int) -> Page:
         end = _END.search(line)
         first = _FIRST.match(lines[after]) if after is not None else None
         broken = end and first and (end[2] != "-" or not first[1][0].isupper() or end[1].isupper())
+        indent = len(line) - len(line.lstrip())
         for m in _READ.finditer(line):
-            if here in taken and m.start() == len(line) - len(line.lstrip()):
+            if here in taken and m.start() == indent:
                 continue  # the rest of a word from the line before
             if broken and end and m.start() <= end.start(1) < m.end():
-                words.append((here, m.start(), m[0] + first[1]))
+                words.append(Word(here, m.start(), m[0] + first[1], end[1], after))
             else:
-                words.append((here, m.start(), m[0]))
+                words.append(Word(here, m.start(), m[0]))
         if broken:
             breaks.append(Break(here, end[1], end[2], after, first[1]))
             taken.add(after)
-    return Page(kinds, breaks, words)
+    return breaks, words
 
 
 def mixed(word: str) -> str | None:
@@ -346,8 +357,22 @@ def cased(word: str, like: str) -> list[str]:
     return [word] if like[:1].isalpha() else [word, word[:1].upper() + word[1:]]
 
 
+_TWO = [(x.lower(), y.lower()) for x, y in CONFUSIONS if len(x) != len(y)]
+
+
+def undone(word: str) -> set[str]:
+    """What a short word was if two characters were read for one of it, or one for two: its deletions are too few to tell."""
+    found = set()
+    for meant, read in _TWO if len(word) <= 6 else ():
+        at = word.find(read)
+        while at >= 0:
+            found.add(word[:at] + meant + word[at + len(read) :])
+            at = word.find(read, at + 1)
+    return found
+
+
 def deletes(word: str, most: int = DELETES) -> set[str]:
-    """``word`` and what is left of it without up to ``most`` characters (fewer for short words)."""
+    """``word`` and what is left of it without up to ``most`` characters (one for short words)."""
     found = level = {word}
     for _ in range(most if len(word) > 4 else 1):
         level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
@@ -356,13 +381,16 @@ def deletes(word: str, most: int = DELETES) -> set[str]:
 
 
 class _Parts(dict):
-    """The lower-case words of each run without white space, with their hashes and compounds; runs repeat, so they are kept."""
+    """The lower-case words of each run without white space, with their hashes, and its compounds and words with signs; runs repeat, so they are kept."""
 
     def __missing__(self, raw: str) -> tuple[list[str], list[int], list[str]]:
         if len(self) >= 100_000:
             self.clear()
         words = [w.lower() for w in _TOKEN.findall(raw)]
-        self[raw] = found = words, [xxhash.xxh3_64_intdigest(w) for w in words], [w.lower() for w in _COMPOUND.findall(raw) if "-" in w]
+        more = [w.lower() for w in _COMPOUND.findall(raw) if "-" in w] if "-" in raw else []
+        if _SIGNS.search(raw):
+            more += [w.lower() for w in _READ.findall(raw) if _SIGNS.search(w)]
+        self[raw] = found = words, [xxhash.xxh3_64_intdigest(w) for w in words], more
         return found
 
 
@@ -376,56 +404,107 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def lexicon(texts: DataFrame) -> DataFrame:
-    """(word, n): in how many of the ``text`` rows each lower-cased word, and each hyphenated compound, occurs."""
+def _hash(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def lexicon(rows: DataFrame) -> DataFrame:
+    """(word, n, n_scanned): in how many texts, and scanned texts, of ``rows`` (type, pages, text) a word occurs.
+
+    Words are lower-cased; hyphenated compounds and words with signs within count too. The empty word is in every text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                found: set[str] = set()
+            counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+            for kind, pages, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found: set[str] = {""}
                 for raw in set(text.split()):
-                    words, _, compounds = _parts[raw]
-                    found.update(words, compounds)
-                counts.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                    words, _, more = _parts[raw]
+                    found.update(words, more)
+                counts[is_scanned(kind, pages, text)].update(found)
+            words = list(counts[0].keys() | counts[1].keys())
+            n = [(counts[0][w] + counts[1][w], counts[1][w]) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([x[k] for x in n], pa.int64()) for k in (0, 1))], names=["word", "n", "n_scanned"])
 
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = rows.select("type", "pages", "text").mapInArrow(run, "word string, n bigint, n_scanned bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_scanned").alias("n_scanned"))
 
 
-_LINES = "id string, kind string, line_no int, start int, word string, before string, after string, left string, sign string, next_line int, right string, repair string"
-_FIELDS = ["id", "kind", "line_no", "start", "word", "before", "after", "left", "sign", "next_line", "right", "repair"]
-_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), *[pa.string()] * 2]
+_PAGES = "id string, text string, kinds array<struct<line:int,kind:string>>, breaks array<struct<line:int,left:string,sign:string,next_line:int,right:string>>"
 
 
-def _observe(scans: DataFrame) -> DataFrame:
-    """One row for each piece of furniture, break and word of the scanned texts (id, pages, text)."""
+def _pages(rows: DataFrame) -> DataFrame:
+    """The scanned texts among ``rows`` (id, type, pages, text) with their furniture and broken words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_type = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string())]))
+        break_type = pa.list_(pa.struct([("line", pa.int32()), ("left", pa.string()), ("sign", pa.string()), ("next_line", pa.int32()), ("right", pa.string())]))
         for batch in batches:
-            rows: list[tuple] = []
-            for key, pages, text in zip(*(c.to_pylist() for c in batch.columns)):
-                page = layout(text, pages)
-                rows += [(key, kind, i, *[None] * 9) for i, kind in page.kinds.items()]
-                rows += [(key, "break", b.line, None, (b.left + b.right).lower(), None, None, b.left, b.sign, b.next_line, b.right, None) for b in page.breaks]
-                sequence = [w.lower() for _, _, w in page.words]
-                for k, (line, start, word) in enumerate(page.words):
-                    if not word.isdigit() and (len(word) >= 3 or len(word) == 2 and not word.isalpha()):
-                        rows.append((key, "word", line, start, word, sequence[k - 1] if k else "", sequence[k + 1] if k + 1 < len(sequence) else "", *[None] * 4, mixed(word)))
-            columns = list(zip(*rows)) or [()] * len(_FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS)], names=_FIELDS)
+            made: list[tuple] = []
+            for key, kind, pages, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if is_scanned(kind, pages, text):
+                    lines = lines_of(text)
+                    kinds = furniture(lines, pages)
+                    made.append((key, text, [{"line": i, "kind": k} for i, k in kinds.items()], [b._asdict() for b in words_of(lines, kinds)[0]]))
+            columns = list(zip(*made)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), kind_type, break_type))], names=["id", "text", "kinds", "breaks"])
+
+    return rows.select("id", "type", "pages", "text").mapInArrow(run, _PAGES)
+
 
-    return scans.mapInArrow(run, _LINES)
+_WORDS = "id string, line_no int, start int, word string, read string, before string, after string, left string, next_line int, mixed string"
 
 
-def _exploded(words: DataFrame) -> DataFrame:
-    """(entry, word, n): every word under the hashes of what deletions leave of it."""
+def _suspects(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of scanned texts that have a correction (``wanted``: word) or hold characters of the other sort."""
+    hashes = _hashes(wanted)
+    bits = pages.sparkSession.sparkContext.broadcast(Bits.of(hashes, Bits.size(hashes.count(), FILTER_BITS)))  # of bounded size
+    kinds_ = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.string()]
+    names = [f.split()[0] for f in _WORDS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[bool, str | None]] = {}
+        for batch in batches:
+            found: list[tuple] = []
+            for key, text, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(lines_of(text), {k["line"] for k in kinds})[1]
+                fresh = list({w.text for w in words} - known.keys())
+                if len(known) > 200_000:
+                    known.clear()
+                    fresh = list({w.text for w in words})
+                if fresh:
+                    has = Bits.has(bits.value, _hash([w.lower() for w in fresh]))
+                    for w, h in zip(fresh, has.tolist()):
+                        other = mixed(w)
+                        known[w] = (len(w) > 1 and not w.isdigit() and (h or other is not None), other)
+                for k, w in enumerate(words):
+                    suspect, other = known[w.text]
+                    if suspect:
+                        before, after = (words[i].text.lower() if 0 <= i < len(words) else "" for i in (k - 1, k + 1))
+                        found.append((key, w.line, w.start, w.text, w.text.lower(), before, after, w.left, w.next_line, other and other.lower()))
+            columns = list(zip(*found)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_)], names=names)
+
+    return pages.select("id", "text", "kinds").mapInArrow(run, _WORDS)
+
+
+def _hashes(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hash(batch.column(0).to_pylist()).view(np.int64))], names=["hash"])
+
+    return words.mapInArrow(run, "hash bigint")
+
+
+def _exploded(words: DataFrame, also: Callable[[str], set[str]] | None = None) -> DataFrame:
+    """(entry, word, n): every word under the hashes of what deletions leave of it (and of what ``also`` makes of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entry, owner = [], []
             for i, w in enumerate(batch.column(0).to_pylist()):
-                own = {xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in deletes(w)}
+                own = {xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in deletes(w) | (also(w) if also else set())}
                 entry += own
                 owner += [i] * len(own)
             at = pa.array(owner, pa.int64())
@@ -434,23 +513,29 @@ def _exploded(words: DataFrame) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "entry bigint, word string, n bigint")
 
 
-def _corrections(observed: DataFrame, words: DataFrame) -> DataFrame:
-    """(read, meant, n_read, n_meant) of the words of scans and lexicon words that confusions may turn into them."""
-    read = observed.where("kind = 'word'").select(F.lower("word").alias("word")).distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+def _corrections(reads: DataFrame, words: DataFrame) -> DataFrame:
+    """(read, meant, n_read, n_meant) of ``reads`` (word, n) and lexicon words that confusions may turn into them."""
     # A word whose spelling is frequent in the corpus cannot be outweighed; the ratio decides, not a cap.
-    known = words.where("n >= 2 AND word NOT LIKE '%-%' AND length(word) >= 2")
-    a = _exploded(read).toDF("entry", "read", "n_read")
+    known = words.where((F.col("n") >= RATIO / 2) & ~F.col("word").rlike(r"[-!|]") & (F.length("word") >= 2))
+    a = _exploded(reads, undone).toDF("entry", "read", "n_read")
     b = _exploded(known).toDF("entry", "meant", "n_meant")
     near = F.abs(F.length("read") - F.length("meant")) <= 2
-    pairs = a.join(b, "entry").where((F.col("read") != F.col("meant")) & near & (F.col("n_meant") >= RATIO * F.greatest("n_read", F.lit(1)) / 2)).select("read", "meant", "n_read", "n_meant").distinct()
+    pairs = a.join(b, "entry").where((F.col("read") != F.col("meant")) & near & (F.col("n_meant") >= RATIO * F.greatest("n_read", F.lit(1)) / 2)).select("read", "meant", "n_read", "n_meant")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = {(x.lower(), y.lower()) for x, y in CONFUSIONS}
+        seen: dict[tuple[str, str], bool] = {}
         for batch in batches:
-            ok = [_explained(r, m, loose) for r, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            ok = []
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if pair not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen[pair] = _explained(*pair, loose)
+                ok.append(seen[pair])
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(keep, "read string, meant string, n_read bigint, n_meant bigint")
+    return pairs.mapInArrow(keep, "read string, meant string, n_read bigint, n_meant bigint").distinct()
 
 
 def _explained(read: str, meant: str, loose: set[tuple[str, str]]) -> bool:
@@ -461,8 +546,6 @@ def _explained(read: str, meant: str, loose: set[tuple[str, str]]) -> bool:
     j = 0
     while j < min(len(read), len(meant)) - i and read[-1 - j] == meant[-1 - j]:
         j += 1
-    if len(meant) - i - j > 12 or len(read) - i - j > 12:
-        return False
     reach = {(max(0, i - 1), max(0, i - 1))}
     todo = list(reach)
     while todo:
@@ -480,89 +563,103 @@ def _explained(read: str, meant: str, loose: set[tuple[str, str]]) -> bool:
 
 def _pair_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pair, n) of the neighbouring words whose hashes are ``wanted``, over all texts."""
-
-    def put(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
-        np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8))
-
-    bits = texts.sparkSession.sparkContext.broadcast(gather(wanted.select("pair"), put, FILTER_BITS // 8, "uint8", np.bitwise_or))  # of fixed size
+    bits = texts.sparkSession.sparkContext.broadcast(Bits.of(wanted.select("pair"), Bits.size(wanted.count(), FILTER_BITS)))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bits.value
         for batch in batches:
             texts = [np.array([x for raw in text.split() for x in _parts[raw][1]], np.uint64) for text in batch.column(0).to_pylist()]
             h = np.concatenate([np.empty(0, np.int64), *(_pairs(w[:-1], w[1:]) for w in texts if len(w) > 1)])
-            at = h.view(np.uint64) % np.uint64(FILTER_BITS)
-            h = h[(own[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            values, n = np.unique(h, return_counts=True)
+            values, n = np.unique(h[Bits.has(bits.value, h)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
     return texts.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def findings(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> DataFrame:
-    """What is wrong in scanned texts: (id, line_no, kind, start, word, repair, next_line, right, word_line).
+def _hyphens(breaks: DataFrame, words: DataFrame) -> DataFrame:
+    """The breaks that are put in: ``breaks`` (id, line, left, sign, next_line, right) but those at a compound's own hyphen.
 
-    ``kind`` is ``header``, ``page_number``, ``hyphen`` (``word`` the joined word, ``right`` its part in ``next_line``) or
-    ``misread`` (``word`` as read from ``start`` in ``word_line`` on, ``repair`` as meant; ``line_no`` is the line of the part
-    of a broken word that differs).
-    The lexicon and the counts of word pairs come from the texts of all rows, scanned or not. Rows that aren't PDFs
-    with narrow lines, and rows with a null id, text or page count, have no findings. A row
-    delivered again counts once in the result.
+    Special signs are always put in, and a text that uses them breaks words with no other. A plain hyphen is a
+    compound's own if the corpus has the compound in more texts than the joined word or, having neither, has both
+    halves as words far more often than breaks leave them.
     """
-    rows = df.select(df[id_col].cast("string").alias("id"), df[pages_col].cast("int").alias("pages"), df[text_col].alias("text"), df[type_col].alias("type")).where("text IS NOT NULL")
-    rows = spread(rows)
-
-    @F.pandas_udf("boolean")
-    def scanned(kind, pages, text):  # type: ignore[no-untyped-def]
-        import pandas as pd
+    parts = {"word": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right"), "l": F.col("left"), "r": F.col("right")}
+    slots = breaks.select("id", "line", F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.lower(v).alias("word")) for k, v in parts.items()))).alias("s")).select("id", "line", "s.*")
+    looked = slots.groupBy("slot", "word").agg(F.count("*").alias("b")).join(words.select("word", "n"), "word", "left").select("slot", "word", "b", F.coalesce("n", F.lit(0)).alias("n"))
+    found = slots.join(looked, ["slot", "word"]).groupBy("id", "line").agg(*(F.max(F.when(F.col("slot") == k, F.col(c))).alias(f"{c}_{k}") for k in parts for c in ("n", "b")))
+    halves = (F.col("n_l") >= RATIO * F.col("b_l")) & (F.col("n_r") >= RATIO * F.col("b_r"))
+    own = F.when(F.col("n_word") + F.col("n_compound") > 0, F.col("n_compound") > F.col("n_word")).otherwise(halves)
+    special = breaks.groupBy("id").agg(F.max(F.col("sign").isin(*BREAK_SIGNS)).alias("special"))
+    joined = breaks.join(special, "id").join(found.select("id", "line", own.alias("own")), ["id", "line"])
+    return joined.where(F.col("sign").isin(*BREAK_SIGNS) | (~F.col("special") & ~F.col("own"))).drop("special", "own")
 
-        return pd.Series([is_scanned(k, None if p != p else p, t) for k, p, t in zip(kind, pages, text)])
 
-    scans = rows.where("id IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").where(scanned("type", "pages", "text")).select("id", "pages", "text").distinct()
-    observed = stage(_observe(scans), "observed")
+def _found(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> tuple[DataFrame, DataFrame]:
+    """``findings``, and the scanned texts with their furniture."""
+    rows = df.select(df[id_col].cast("string").alias("id"), df[type_col].alias("type"), df[pages_col].cast("int").alias("pages"), df[text_col].alias("text")).where("text IS NOT NULL")
+    rows = spread(rows)
+    pages = stage(_pages(rows.where("id IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'")), "pages")
     words = stage(lexicon(rows), "lexicon")
-
-    # Broken words: the corpus knows the joined word better than the compound.
-    breaks = observed.where("kind = 'break'").select("id", "line_no", "left", "sign", "next_line", "right", "word").withColumn("compound", F.lower(F.concat_ws("-", "left", "right")))
-    special = breaks.groupBy("id").agg(F.max(F.col("sign").isin(*BREAK_SIGNS)).alias("special"))
-    n = {k: words.select(F.col("word").alias(k), F.col("n").alias(f"n_{k}")) for k in ("word", "compound", "l", "r")}
-    breaks = breaks.join(special, "id").join(n["word"], "word", "left").join(n["compound"], "compound", "left")
-    breaks = breaks.withColumn("l", F.lower("left")).withColumn("r", F.lower("right")).join(n["l"], "l", "left").join(n["r"], "r", "left").na.fill(0, ["n_word", "n_compound", "n_l", "n_r"])
-    own_hyphen = F.when(F.col("n_word") + F.col("n_compound") > 0, F.col("n_compound") > F.col("n_word")).otherwise((F.col("n_l") >= 3) & (F.col("n_r") >= 3))
-    hyphens = breaks.where(F.col("sign").isin(*BREAK_SIGNS) | (~F.col("special") & ~own_hyphen))
-    joined = hyphens.select("id", F.col("line_no").alias("broken"), "left", "right", "next_line", "word")
-
-    # Misread words: candidates, their context, and the best of them against the word as it stands. What a line
-    # break joined wrongly (a compound) is no word, so the joined form counts only where the break was accepted.
-    read = observed.where("kind = 'word'").select("id", "line_no", "start", "word", F.lower("word").alias("read"), "before", "after", "repair")
-    read = read.join(breaks.select("id", F.col("line_no"), F.col("word").alias("read"), F.lit(True).alias("at_break")).distinct(), ["id", "line_no", "read"], "left")
-    read = read.join(joined.select("id", F.col("broken").alias("line_no"), F.col("word").alias("read"), "left", "next_line").distinct(), ["id", "line_no", "read"], "left").where("at_break IS NULL OR left IS NOT NULL")
-    corrections = stage(_corrections(observed, words), "corrections")
-    options = stage(read.join(corrections, "read"), "options")
-    wanted = options.select(F.explode(_pairs_udf("before", "read", "meant", "after")).alias("pair")).distinct()
-    counts = stage(_pair_counts(rows, wanted).join(wanted, "pair", "left_semi"), "pairs")
-    scored = options.withColumn("p", _pairs_udf("before", "read", "meant", "after"))
-    for k in range(4):
-        scored = scored.join(counts.toDF(f"p{k}", f"c{k}"), scored["p"][k] == F.col(f"p{k}"), "left").drop(f"p{k}")
-    scored = scored.withColumn("cost", _cost_udf("word", "meant")).where(F.col("cost") <= GREATEST_COST)
+    sums = words.where("word = ''").first()  # one row, none for an empty table
+    n_all, n_scanned = (sums["n"], sums["n_scanned"]) if sums else (0, 0)
+
+    breaks = pages.select("id", F.explode("breaks").alias("b")).select("id", "b.*").distinct()
+    hyphens = stage(_hyphens(breaks, words), "hyphens")
+
+    # Corrections of the different words: those of scanned texts, and what joining the broken ones gives.
+    joined = hyphens.select(F.lower(F.concat("left", "right")).alias("word")).distinct().join(words.select("word"), "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"))
+    reads = words.where("n_scanned > 0 AND length(word) > 1 AND word NOT LIKE '%-%'").select("word", "n").unionByName(joined)
+    corrections = stage(_corrections(reads, words), "corrections")
+    read = stage(_suspects(pages, corrections.select("read").distinct()).distinct(), "suspects")
+    # What a line break joined wrongly (a compound) is no word: joined words count only where the break was accepted.
+    accepted = hyphens.select("id", F.col("line").alias("line_no")).distinct()
+    read = read.where("left IS NULL").unionByName(read.where("left IS NOT NULL").join(accepted, ["id", "line_no"], "left_semi"))
+
+    # A word or number with a character of the other sort is misread if it stands in scans rather than elsewhere.
+    odd = read.where("mixed IS NOT NULL").select("read", "mixed").distinct()
+    odd = odd.join(words.toDF("read", "n_read", "s_read"), "read", "left").join(words.select(F.col("word").alias("mixed"), F.col("n").alias("n_meant")), "mixed", "left").na.fill(0, ["n_read", "s_read", "n_meant"])
+    there = F.greatest("s_read", F.lit(1)) * (n_all - n_scanned + 1)
+    elsewhere = (F.col("n_read") - F.col("s_read") + 1) * (n_scanned + 1)
+    odd = odd.select("read", F.col("mixed").alias("meant"), "n_read", "n_meant", F.log(there / elsewhere).alias("shape")).where("read <> meant")
+    ways = corrections.withColumn("shape", F.lit(None).cast("double")).unionByName(odd)
+
+    options = read.join(ways, "read").withColumn("scored", _scored_udf("word", "before", "read", "meant", "after"))
+    cost = F.when(F.col("shape").isNull(), F.col("scored.cost")).otherwise(0.0)
+    options = stage(options.withColumn("cost", cost).where(F.col("cost") <= GREATEST_COST).withColumn("p", F.col("scored.pairs")).drop("scored", "mixed"), "options")
+    # Counts of the four pairs of neighbours, in one join.
+    asked = options.select("id", "line_no", "start", "meant", "shape", F.posexplode("p").alias("k", "pair"))
+    wanted = stage(asked.select("pair").distinct(), "wanted")
+    counts = _pair_counts(rows, wanted)
+    near = asked.join(counts, "pair").groupBy("id", "line_no", "start", "meant").agg(*(F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"c{k}") for k in range(4)))
+    scored = options.drop("p").join(near, ["id", "line_no", "start", "meant"], "left")
     z = lambda k: F.coalesce(f"c{k}", F.lit(0))
     # The word's own occurrence is one of the counts of its context.
     score = F.log((F.col("n_meant") + 1) / F.greatest("n_read", F.lit(1))) + F.log((1 + z(2) + z(3)) / (1 + F.greatest(z(0) - 1, F.lit(0)) + F.greatest(z(1) - 1, F.lit(0)))) - F.col("cost") * math.log(2)
-    scored = scored.withColumn("score", score)
-    best = Window.partitionBy("id", "line_no", "start").orderBy(F.desc("score"), "meant")
-    chosen = scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") == 1) & (F.col("score") >= math.log(RATIO)))
-    chosen = chosen.select("id", "line_no", "start", F.col("meant"))
-    marked = read.join(chosen, ["id", "line_no", "start"], "left")
-    known = words.select(F.col("word").alias("read"), F.col("n").alias("n_read"))
-    marked = marked.join(known, "read", "left").withColumn("repair", F.coalesce("meant", F.when(F.coalesce("n_read", F.lit(0)) < 20, F.lower("repair")))).where("repair IS NOT NULL AND repair <> word")
-    in_left = F.col("left").isNull() | ~F.startswith(F.lower("repair"), F.lower("left"))
-    misread = marked.select("id", F.when(in_left, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit("misread").alias("kind"), "start", "word", "repair", "next_line", F.lit(None).cast("string").alias("right"), F.col("line_no").alias("word_line"))
+    scored = scored.withColumn("score", score + F.coalesce("shape", F.lit(0.0))).where(F.col("score") >= math.log(RATIO))
+    best = scored.groupBy("id", "line_no", "start").agg(F.min(F.struct((-F.col("score")).alias("worst"), "meant", "word", "left", "next_line")).alias("best"))
+    marked = best.select("id", "line_no", "start", "best.*")
+    in_left = F.col("left").isNull() | ~F.startswith(F.col("meant"), F.lower("left"))
+    misread = marked.select(
+        "id", F.when(in_left, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit("misread").alias("kind"), "start", "word", F.col("meant").alias("repair"), "next_line",
+        F.lit(None).cast("string").alias("right"), F.col("line_no").alias("word_line"),
+    )
 
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("word", "string"), ("repair", "string"), ("next_line", "int"), ("right", "string"), ("word_line", "int"))]
-    pages = observed.where("kind IN ('header', 'page_number')").select("id", "line_no", "kind", *empty)
-    broken = hyphens.select("id", "line_no", F.lit("hyphen").alias("kind"), empty[0], "word", empty[2], "next_line", "right", empty[5])
-    return pages.unionByName(broken).unionByName(misread).withColumnRenamed("id", id_col)
+    kinds = pages.select("id", F.explode("kinds").alias("k")).select("id", F.col("k.line").alias("line_no"), "k.kind", *empty).distinct()
+    broken = hyphens.select("id", F.col("line").alias("line_no"), F.lit("hyphen").alias("kind"), empty[0], F.lower(F.concat("left", "right")).alias("word"), empty[2], "next_line", "right", empty[5])
+    return kinds.unionByName(broken).unionByName(misread), pages
+
+
+def findings(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> DataFrame:
+    """What is wrong in scanned texts: (id, line_no, kind, start, word, repair, next_line, right, word_line).
+
+    ``kind`` is ``header``, ``page_number``, ``hyphen`` (``word`` the joined word, ``right`` its part in ``next_line``) or
+    ``misread`` (``word`` as read from ``start`` in ``word_line`` on, ``repair`` as meant; ``line_no`` is the line of the part
+    of a broken word that differs). Single characters and numbers of digits alone are never misread.
+    The lexicon and the counts of word pairs come from the texts of all rows, scanned or not. Rows that aren't scanned
+    (``is_scanned``), and rows with a null id, text or page count, have no findings. A row
+    delivered again counts once in the result.
+    """
+    return _found(df, id_col, text_col, type_col, pages_col)[0].withColumnRenamed("id", id_col)
 
 
 def _recased(word: str, repair: str) -> str:
@@ -611,7 +708,9 @@ def paragraphs(text: str, found: list[dict]) -> list[str]:
         if fresh or (raw[:1].isspace() and i not in tails) or early:
             out.append(line.strip())
         else:
-            glue = "" if i in tails and line[:1] in ".,;:!?)" or not line else " "
+            own = _END.search(last)  # a compound's own hyphen, as the break was no other
+            compound = own and own[2] == "-" and i not in tails and _FIRST.match(line)
+            glue = "" if i in tails and line[:1] in ".,;:!?)" or compound or not line else " "
             out[-1] = f"{out[-1]}{glue}{line.strip()}"
         fresh, last = False, raw
     return [p for p in out if p]
@@ -619,34 +718,26 @@ def paragraphs(text: str, found: list[dict]) -> list[str]:
 
 def repair(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col: str) -> DataFrame:
     """(id, paragraph_no, paragraph): the continuous paragraphs of the scanned texts; other rows have none."""
-    found = stage(findings(df, id_col, text_col, type_col, pages_col), "findings")
+    found, pages = _found(df, id_col, text_col, type_col, pages_col)
     # A text's findings are fewer than its words: a list of bounded size.
-    lists = found.groupBy(id_col).agg(F.collect_list(F.struct("line_no", "kind", "start", "word", "repair", "next_line", "right", "word_line")).alias("found"))
-    rows = df.select(df[id_col].cast("string").alias(id_col), df[text_col].alias("text"), df[type_col].alias("type"), df[pages_col].cast("int").alias("pages"))
-    rows = rows.where(f"{id_col} IS NOT NULL AND text IS NOT NULL AND pages >= 1 AND lower(type) = 'pdf'").distinct().join(lists, id_col, "left").select(id_col, "text", "type", "pages", "found")
+    lists = found.groupBy("id").agg(F.collect_list(F.struct("line_no", "kind", "start", "word", "repair", "next_line", "right", "word_line")).alias("found"))
+    rows = pages.select("id", "text").distinct().join(lists, "id", "left").select("id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers, made = [], [], []
-            for key, text, kind, pages, own in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, p in enumerate(paragraphs(text, own or []) if is_scanned(kind, pages, text) else []):
+            for key, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, p in enumerate(paragraphs(text, own or [])):
                     keys.append(key), numbers.append(k), made.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), pa.array(made, pa.string())], names=["id", "paragraph_no", "paragraph"])
 
     return rows.mapInArrow(run, "id string, paragraph_no int, paragraph string").withColumnRenamed("id", id_col)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _pairs_udf(before, read, meant, after):  # type: ignore[no-untyped-def]
-    import pandas as pd
-
-    hashed = [np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) for words in (before, read, meant, after)]
-    b, r, m, a = hashed
-    return pd.Series(np.column_stack([_pairs(b, r), _pairs(r, a), _pairs(b, m), _pairs(m, a)]).tolist())
-
-
-@F.pandas_udf(T.DoubleType())
-def _cost_udf(word, meant):  # type: ignore[no-untyped-def]
+@F.pandas_udf(T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("pairs", T.ArrayType(T.LongType()))]))
+def _scored_udf(word, before, read, meant, after):  # type: ignore[no-untyped-def]
     import pandas as pd
 
-    return pd.Series([min(min(confusion_cost(w, c) for c in cased(m, w)), 1e9) for w, m in zip(word, meant)])
+    b, r, m, a = (_hash(list(words)) for words in (before, read, meant, after))
+    cost = [min(min(confusion_cost(w, c) for c in cased(x, w)), 1e9) for w, x in zip(word, meant)]
+    return pd.DataFrame({"cost": cost, "pairs": np.column_stack([_pairs(b, r), _pairs(r, a), _pairs(b, m), _pairs(m, a)]).tolist()})
