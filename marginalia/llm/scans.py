@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -89,7 +90,7 @@ def page_numbers(line: str) -> list[tuple[str, int]]:
     """The ways to read a line as nothing but a page number: (style, value)."""
     found = []
     text = line.strip()
-    for style, pattern in _NUMBERS if text else ():
+    for style, pattern in _NUMBERS if text and len(text.split()) <= 4 else ():  # no form has more parts
         if m := pattern.fullmatch(text):
             for v in {_value(m[1]), _roman(m[1])} - {None}:
                 found.append((style, v))
@@ -127,11 +128,12 @@ def _near(a: str, b: str) -> bool:
 
 def _promising(numbers: list[list[tuple[str, int]]], heads: list[list[tuple[str, int | None]]]) -> list[bool]:
     """Which lines may be furniture: those that can be page numbers, and those whose head another line has too."""
-    ends: dict[tuple[int, str], set[int]] = {}
+    ends: dict[tuple[int, int, str], set[int]] = {}
     for i, ways in enumerate(heads):
         for text, _ in ways:
-            ends.setdefault((0, text[:3]), set()).add(i)
-            ends.setdefault((1, text[-3:]), set()).add(i)
+            words = text.count(" ")  # heads that are the same have as many
+            ends.setdefault((0, words, text[:3]), set()).add(i)
+            ends.setdefault((1, words, text[-3:]), set()).add(i)
     exact = Counter(t for ways in heads for t in {text for text, _ in ways})
     sizes = [{len(text) for text, _ in ways} for ways in heads]
 
@@ -139,7 +141,7 @@ def _promising(numbers: list[list[tuple[str, int]]], heads: list[list[tuple[str,
         for text, _ in heads[i]:
             if exact[text] > 1:
                 return True
-            for j in ends[0, text[:3]] | ends[1, text[-3:]]:
+            for j in ends[0, text.count(" "), text[:3]] | ends[1, text.count(" "), text[-3:]]:
                 if j != i and any(abs(len(text) - n) <= 2 for n in sizes[j]) and any(_near(text, other) for other, _ in heads[j]):
                     return True
         return False
@@ -252,14 +254,13 @@ class Break(NamedTuple):
     right: str
 
 
-class Word(NamedTuple):
-    """A word of the body; one that is broken stands as joined, in its first line, with its left part and next line."""
+class Line(NamedTuple):
+    """The words of a body line: without the rest of one from the line before (``rest`` says so), a broken one as joined."""
 
     line: int
-    start: int
-    text: str
-    left: str | None = None
-    next_line: int | None = None
+    words: list[str]
+    rest: bool
+    broken: Break | None
 
 
 def lines_of(text: str) -> list[str]:
@@ -280,28 +281,23 @@ def is_scanned(file_type: str | None, page_count: int | None, text: str) -> bool
     return 2 * sum(ends) > len(ends) and 2 * narrow >= sum(map(len, lines))
 
 
-def words_of(lines: list[str], kinds: Collection[int]) -> tuple[list[Break], list[Word]]:
-    """Broken words and all words in order, of the lines that are no furniture (``kinds``)."""
+def words_of(lines: list[str], kinds: Collection[int]) -> list[Line]:
+    """The words in order of the lines that are no furniture (``kinds``)."""
     body = [i for i, x in enumerate(lines) if i not in kinds and x.strip()]
-    breaks, words = [], []
-    taken: set[int] = set()
+    found, taken = [], False
     for here, after in zip(body, [*body[1:], None]):
         line = lines[here]
-        end = _END.search(line)
-        first = _FIRST.match(lines[after]) if after is not None else None
-        broken = end and first and (end[2] != "-" or not first[1][0].isupper() or end[1].isupper())
-        indent = len(line) - len(line.lstrip())
-        for m in _READ.finditer(line):
-            if here in taken and m.start() == indent:
-                continue  # the rest of a word from the line before
-            if broken and end and m.start() <= end.start(1) < m.end():
-                words.append(Word(here, m.start(), m[0] + first[1], end[1], after))
-            else:
-                words.append(Word(here, m.start(), m[0]))
-        if broken:
-            breaks.append(Break(here, end[1], end[2], after, first[1]))
-            taken.add(after)
-    return breaks, words
+        words = _READ.findall(line)
+        rest = taken and bool(words) and bool(_FIRST.match(line))
+        words = words[1:] if rest else words
+        end = _END.search(line) if after is not None and line.rstrip()[-1] in HYPHENS else None
+        first = _FIRST.match(lines[after]) if end else None
+        taken = bool(first and (end[2] != "-" or not first[1][0].isupper() or end[1].isupper()))
+        broken = Break(here, end[1], end[2], after, first[1]) if taken else None
+        if taken and words:
+            words[-1] += first[1]
+        found.append(Line(here, words, rest, broken))
+    return found
 
 
 def mixed(word: str) -> str | None:
@@ -446,7 +442,7 @@ def _pages(rows: DataFrame) -> DataFrame:
                 if is_scanned(kind, pages, text):
                     lines = lines_of(text)
                     kinds = furniture(lines, pages)
-                    made.append((key, text, [{"line": i, "kind": k} for i, k in kinds.items()], [b._asdict() for b in words_of(lines, kinds)[0]]))
+                    made.append((key, text, [{"line": i, "kind": k} for i, k in kinds.items()], [x.broken._asdict() for x in words_of(lines, kinds) if x.broken]))
             columns = list(zip(*made)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), kind_type, break_type))], names=["id", "text", "kinds", "breaks"])
 
@@ -464,25 +460,29 @@ def _suspects(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in _WORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[bool, str | None]] = {}
+        known: dict[str, str | None] = {}  # words looked up; suspects with what they stand for, others None
         for batch in batches:
             found: list[tuple] = []
             for key, text, kinds in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(lines_of(text), {k["line"] for k in kinds})[1]
-                fresh = list({w.text for w in words} - known.keys())
+                lines = lines_of(text)
+                body = words_of(lines, {k["line"] for k in kinds})
+                sequence = [w for x in body for w in x.words]
                 if len(known) > 200_000:
                     known.clear()
-                    fresh = list({w.text for w in words})
-                if fresh:
-                    has = Bits.has(bits.value, _hash([w.lower() for w in fresh]))
-                    for w, h in zip(fresh, has.tolist()):
+                if fresh := list(set(sequence) - known.keys()):
+                    for w, h in zip(fresh, Bits.has(bits.value, _hash([w.lower() for w in fresh])).tolist()):
                         other = mixed(w)
-                        known[w] = (len(w) > 1 and not w.isdigit() and (h or other is not None), other)
-                for k, w in enumerate(words):
-                    suspect, other = known[w.text]
-                    if suspect:
-                        before, after = (words[i].text.lower() if 0 <= i < len(words) else "" for i in (k - 1, k + 1))
-                        found.append((key, w.line, w.start, w.text, w.text.lower(), before, after, w.left, w.next_line, other and other.lower()))
+                        known[w] = (other or "") if len(w) > 1 and not w.isdigit() and (h or other) else None
+                at = 0
+                for x in body:
+                    for k, w in enumerate(x.words):
+                        if (other := known[w]) is not None:
+                            i = at + k
+                            start = next(islice(_READ.finditer(lines[x.line]), k + x.rest, None)).start()
+                            broken = x.broken if k == len(x.words) - 1 else None
+                            before, after = sequence[i - 1].lower() if i else "", sequence[i + 1].lower() if i + 1 < len(sequence) else ""
+                            found.append((key, x.line, start, w, w.lower(), before, after, broken and broken.left, broken and broken.next_line, other.lower() or None))
+                    at += len(x.words)
             columns = list(zip(*found)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds_)], names=names)
 
@@ -632,8 +632,9 @@ def _found(df: DataFrame, id_col: str, text_col: str, type_col: str, pages_col:
     near = asked.join(counts, "pair").groupBy("id", "line_no", "start", "meant").agg(*(F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"c{k}") for k in range(4)))
     scored = options.drop("p").join(near, ["id", "line_no", "start", "meant"], "left")
     z = lambda k: F.coalesce(f"c{k}", F.lit(0))
-    # The word's own occurrence is one of the counts of its context.
-    score = F.log((F.col("n_meant") + 1) / F.greatest("n_read", F.lit(1))) + F.log((1 + z(2) + z(3)) / (1 + F.greatest(z(0) - 1, F.lit(0)) + F.greatest(z(1) - 1, F.lit(0)))) - F.col("cost") * math.log(2)
+    # The word's own occurrence is one of the counts of its context. What cannot be a word has no context of its own.
+    as_read = F.when(F.col("shape").isNull(), F.greatest(z(0) - 1, F.lit(0)) + F.greatest(z(1) - 1, F.lit(0))).otherwise(0)
+    score = F.log((F.col("n_meant") + 1) / F.greatest("n_read", F.lit(1))) + F.log((1 + z(2) + z(3)) / (1 + as_read)) - F.col("cost") * math.log(2)
     scored = scored.withColumn("score", score + F.coalesce("shape", F.lit(0.0))).where(F.col("score") >= math.log(RATIO))
     best = scored.groupBy("id", "line_no", "start").agg(F.min(F.struct((-F.col("score")).alias("worst"), "meant", "word", "left", "next_line")).alias("best"))
     marked = best.select("id", "line_no", "start", "best.*")

@@ -113,3 +113,36 @@ def test_findings_and_repair(spark):
     text = " ".join(r.paragraph for r in scans.repair(df, "id", "text", "type", "pages").orderBy("paragraph_no").collect())
     assert "quiet river bends around an ancient meadow before reaching some distant" in text and "River Notes" not in text and "two-stage plan" in text and "two- stage" not in text
     assert scans.findings(df.limit(0), "id", "text", "type", "pages").count() == 0
+
+
+def test_scanned_texts_are_known_by_their_lines():
+    line = "the quiet river bends around an ancient"
+    printed = [line] * 12
+    assert scans.is_scanned("PDF", 1, "\n".join(printed)) and scans.is_scanned("pdf", 1, "\n".join(printed[:3]))
+    assert scans.is_scanned("pdf", 1, "\n".join([*printed, "x" * 120, *printed]))  # one wide line
+    assert not scans.is_scanned("pdf", 1, "\n".join(["One sentence stands here.", "Another one is below."] * 6))
+    assert not scans.is_scanned("pdf", 1, line * 30) and not scans.is_scanned("pdf", None, "\n".join(printed)) and not scans.is_scanned("txt", 1, "\n".join(printed)) and not scans.is_scanned("pdf", 1, "")
+
+
+def test_words_of_lines():
+    lines = ["It was a well-", "known riv¬", "er in the", "north", "Head", "of it"]
+    body = scans.words_of(lines, {4})
+    assert [x.words for x in body] == [["It", "was", "a", "wellknown"], ["river"], ["in", "the"], ["north"], ["of", "it"]]
+    assert [x.broken and (x.broken.left, x.broken.next_line) for x in body] == [("well", 1), ("riv", 2), None, None, None] and [x.rest for x in body] == [False, True, True, False, False]
+    assert scans.words_of(["a-", "", "-"], set())[0].broken is None and scans.words_of([], set()) == []
+
+
+def test_frequent_misreadings_and_wide_lines_are_found(spark):
+    """Neither a misreading in 50 documents nor a line of 120 characters is passed over."""
+    words = "the quiet river bends around an ancient meadow before reaching some distant harbour where sailors mended their nets during long winter evenings low may and term".split()
+    clean = [(f"c{i}", " ".join(random.Random(i).choices(words, k=200)), "txt", None) for i in range(400)]
+    rows = []
+    for i in range(50):
+        rng = random.Random(1000 + i)
+        body = [" ".join(rng.choices(words, k=8)) for _ in range(20)]
+        body[4], body[9], body[12] = "their quiet river bends qu1et and lovv", "sailors mended 2O18 nets during rnay", " ".join(rng.choices(words, k=25))[:120]
+        rows.append((f"s{i}", "\n".join(body), "pdf", 1))
+    df = spark.createDataFrame([*clean, *rows], "id string, text string, type string, pages int")
+    found = {(r.word, r.repair) for r in scans.findings(df, "id", "text", "type", "pages").where("kind = 'misread'").collect()}
+    assert found == {("qu1et", "quiet"), ("lovv", "low"), ("rnay", "may"), ("2O18", "2018")}
+    assert scans.undone("tvvo") == {"two"} and "may" in scans.undone("rnay") and "and" in scans.undone("ancl")
