@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -49,16 +49,34 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFKC", plain(text).casefold())
 
 
-def normalise(df: DataFrame, text_col: str = "text", out: str = "plain_text", fold_case: bool = False) -> DataFrame:
+def confusables(lines: Iterable[str]) -> dict[str, str]:
+    """Look-alikes from a public table of confusable characters: code points in hexadecimal, ``source ; target ; type # remark``.
+
+    Taken are letters of other scripts that look like one Latin letter; for ``normalise(..., lookalikes=...)``.
+    """
+    found = {}
+    for line in lines:
+        fields = [f.strip() for f in line.split("#")[0].lstrip("\ufeff").split(";")]
+        if len(fields) >= 2 and " " not in fields[0] and " " not in fields[1]:
+            source, target = (chr(int(f, 16)) for f in fields[:2])
+            if source.isalpha() and target.isascii() and target.isalpha() and not source.isascii():
+                found[source] = target
+    return found
+
+
+def normalise(df: DataFrame, text_col: str = "text", out: str = "plain_text", fold_case: bool = False, lookalikes: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the consistent form of ``text_col`` in a column ``out`` (replaced if it exists).
 
+    ``lookalikes`` maps more letters (one to one), before those that are known here.
+
     Null stays null, empty stays empty; a text made of invisible characters alone becomes empty. Narrow.
     """
     make = folded if fold_case else plain
+    more = str.maketrans(lookalikes or {})
 
     @F.pandas_udf("string")
     def run(texts):  # type: ignore[no-untyped-def]
-        found = {t: make(t) for t in texts.dropna().unique()}
+        found = {t: make(t.translate(more) if more else t) for t in texts.dropna().unique()}
         return texts.map(found).astype(object).where(texts.notna(), None)
 
     return df.withColumn(out, run(df[text_col]))
@@ -87,15 +105,17 @@ def same_looking(marks: DataFrame) -> DataFrame:
     """Pairs (kind, key_a, key_b), key_a < key_b, of records stored differently with one consistent form.
 
     ``marks`` is what ``fingerprints`` gives. Forms are grouped without case first; within a group only
-    texts whose form agrees with case are a pair. Groups all of whose texts are stored alike (exact
-    copies, however many) are left out before the pairs are made.
+    texts whose form agrees with case are a pair. Different stored forms are paired, each once, and only
+    pairs of forms become pairs of keys: copies stored alike, however many, never meet each other.
     """
     marks = stage(marks.distinct(), "marks")
     groups = marks.groupBy("kind", "folded", "plain").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b")
     several = stage(marks.join(groups.select("kind", "folded", "plain"), ["kind", "folded", "plain"]), "several")
-    a = several.select("kind", "folded", "plain", F.col("key").alias("key_a"), F.col("stored").alias("stored_a"))
-    b = several.select("kind", "folded", "plain", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, ["kind", "folded", "plain"]).where("key_a < key_b AND stored_a <> stored_b").select("kind", "key_a", "key_b").distinct()
+    forms = several.select("kind", "folded", "plain", "stored").distinct()
+    pairs = forms.withColumnRenamed("stored", "stored_a").join(forms.withColumnRenamed("stored", "stored_b"), ["kind", "folded", "plain"]).where("stored_a < stored_b").select("kind", "stored_a", "stored_b")
+    keys = several.select("kind", "stored", "key")
+    found = pairs.join(keys.toDF("kind", "stored_a", "x"), ["kind", "stored_a"]).join(keys.toDF("kind", "stored_b", "y"), ["kind", "stored_b"])
+    return found.where("x <> y").select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def classes(marks: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 Positions where a text may be cut carry penalties: none at a blank line, more at a line end, a sentence
 end, a gap between words, and most within a word. ``split`` finds by dynamic programming over the
 boundary positions the pieces whose penalties and differences of size cost least, under the maximum length
-and with the specified overlap; ``audit`` evaluates stored pieces as a path through the same graph and
-reports the edges that break its rules.
+and with the specified overlap; ``audit`` holds stored pieces, which other means made, against the rules that such a
+split keeps, and reports those that break them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import cached_property
 from typing import NamedTuple
@@ -28,8 +30,8 @@ from marginalia.runtime import spread
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 0.0, 1.0, 2.0, 6.0, 1000.0
 #: Cost of a piece that uses none of the allowed length; falls with the square of what it uses.
 IMBALANCE = 4.0
-#: Stored pieces of one text that are checked together.
-PIECES = 64
+#: Stored pieces of one text that are checked together; a text travels once for so many.
+PIECES = 4096
 
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _LINE = re.compile(r"(?:\r\n|\r|\n)\s*")
@@ -64,12 +66,17 @@ class CutGraph:
         t = self.text
         return 0 < end < len(t) and not t[end - 1].isspace() and not t[end].isspace() and _WORD.search(t, max(start, 0), end) is not None
 
+    @cached_property
+    def gaps(self) -> list[int]:
+        """The ends of all white space within the text."""
+        return [m.end() for m in _WORD.finditer(self.text) if m.end() < len(self.text)]
+
     def defects(self, previous_end: int | None, start: int, end: int, piece: str | None, limits: Limits) -> list[str]:
-        """The rules that the edge from a piece's predecessor to the piece breaks; the split makes none of them."""
+        """The rules that a piece (``piece``: the MD5 of its text) breaks after its predecessor; ``split`` breaks none."""
         found = []
         if limits.max_chars is not None and end - start > limits.max_chars:
             found.append("too_long")
-        if piece is not None and (start < 0 or end < start or piece != self.text[start:end]) or piece is None:
+        if piece is None or start < 0 or end < start or piece != hashlib.md5(self.text[start:end].encode(), usedforsecurity=False).hexdigest():
             found.append("offset")
         if self.inside_word(start, end):
             found.append("inside_word")
@@ -101,24 +108,26 @@ class CutGraph:
     def split(self, limits: Limits) -> list[tuple[int, int]]:
         """Pieces (start, end) from 0 to the end of the text, each at most ``max_chars`` long.
 
-        A piece starts at the best boundary (least penalty, then the earliest) within ``overlap_chars`` before the end of
-        its predecessor, and exactly there if there is none. Pieces cover the text and move forward.
+        A piece starts at the best natural boundary (least penalty, then the earliest) within ``overlap_chars`` before the
+        end of its predecessor, else at the earliest gap between words there, else exactly ``overlap_chars`` before it.
+        Pieces cover the text and move forward.
         """
         n = len(self.text)
         if n <= limits.max_chars:
             return [(0, n)] if n else []
         ends, cost = self.positions(limits)
-        starts = [0, *(self._start(e, ends, cost, limits) for e in ends)]
+        starts = [0, *self.starts(ends, limits)]  # they don't decrease
         pen = np.array(cost)
         from_ = np.array(starts)  # start of the piece that follows end k - 1
         best = np.full(len(ends) + 1, np.inf)
         best[0] = 0.0
         back = np.zeros(len(ends) + 1, np.int64)
         for k, end in enumerate(ends):
-            # predecessors whose next piece would end here within the limit; starts don't decrease
+            # predecessors whose next piece would end here within the limit, and start before the piece after it does
             lo = bisect_left(starts, end - limits.max_chars, 0, k + 1)
-            length = end - from_[lo : k + 1]
-            ways = best[lo : k + 1] + IMBALANCE * (1 - length / limits.max_chars) ** 2
+            hi = bisect_left(starts, starts[k + 1], lo, k + 1) if end < n else k + 1
+            length = end - from_[lo:hi]
+            ways = best[lo:hi] + IMBALANCE * (1 - length / limits.max_chars) ** 2
             if len(ways):
                 j = int(np.argmin(ways))
                 best[k + 1] = ways[j] + pen[k]
@@ -130,13 +139,27 @@ class CutGraph:
             k = j
         return pieces[::-1]
 
-    @staticmethod
-    def _start(end: int, ends: list[int], cost: list[float], limits: Limits) -> int:
+    def starts(self, ends: list[int], limits: Limits) -> list[int]:
+        """Where the piece after each of ``ends`` (ascending) starts; linear, as the best boundary only moves on."""
         if not limits.overlap_chars:
-            return end
-        lo, hi = bisect_left(ends, end - limits.overlap_chars), bisect_right(ends, end)
-        inner = [(cost[i], ends[i]) for i in range(lo, hi) if 0 < ends[i] < end]
-        return min(inner)[1] if inner else end
+            return ends
+        natural = sorted(self.natural.items())
+        found, ahead, window = [], 0, deque()  # window: boundaries that may still become the best, costs ascending
+        for end in ends:
+            while ahead < len(natural) and natural[ahead][0] < end:
+                while window and window[-1][1] > natural[ahead][1]:
+                    window.pop()
+                window.append(natural[ahead])
+                ahead += 1
+            first = end - limits.overlap_chars
+            while window and window[0][0] < first:
+                window.popleft()
+            if window:
+                found.append(window[0][0])
+            else:
+                k = bisect_left(self.gaps, max(first, 1))
+                found.append(self.gaps[k] if k < len(self.gaps) and self.gaps[k] < end else max(first, 1))
+        return found
 
 
 def split(df: DataFrame, id_col: str, text_col: str, max_col: str, overlap_col: str) -> DataFrame:
@@ -165,19 +188,21 @@ def split(df: DataFrame, id_col: str, text_col: str, max_col: str, overlap_col:
 
 
 def audit(chunks: DataFrame, documents: DataFrame, configs: DataFrame, pieces: int = PIECES) -> DataFrame:
-    """(parsed_id, chunk_index, defect) of stored chunks, as edges of their document's cut graph.
+    """(parsed_id, chunk_index, defect) of stored chunks, each held against the one before it.
 
     Chunks delivered again (equal in the columns read) count once; chunks without a document, and those
     with a null index or offset, are left out; a null text breaks ``offset``. A document without a configuration has
     no limits, so ``too_long`` and ``overlap`` cannot be broken. Chunks with one index are ordered by start.
 
-    A document's chunks travel in groups of ``pieces``, each with the end of the one before it, so a
-    document with very many of them isn't collected as a whole.
+    Chunks travel without their texts, whose hashes are compared. A document's chunks go in groups of ``pieces``, each
+    with the end of the one before it, so a document with very many of them isn't collected as a whole. Built-in
+    functions could express the rules, but find a position by counting characters from a text's beginning, for every
+    chunk anew.
     """
-    rows = chunks.select("parsed_id", "chunk_index", "start_char", "end_char", "text").where("chunk_index IS NOT NULL AND start_char IS NOT NULL AND end_char IS NOT NULL").distinct()
-    order = Window.partitionBy("parsed_id").orderBy("chunk_index", "start_char", "end_char", "text")
-    rows = rows.withColumn("previous", F.lag("end_char").over(order)).withColumn("part", F.floor(F.col("chunk_index") / pieces))
-    lists = rows.groupBy("parsed_id", "part").agg(F.collect_list(F.struct("chunk_index", "start_char", "end_char", "text", "previous")).alias("chunks"))
+    rows = chunks.where("chunk_index IS NOT NULL AND start_char IS NOT NULL AND end_char IS NOT NULL").select("parsed_id", "chunk_index", "start_char", "end_char", F.md5("text").alias("hash")).distinct()
+    order = Window.partitionBy("parsed_id").orderBy("chunk_index", "start_char", "end_char", "hash")
+    rows = rows.withColumn("previous", F.lag("end_char").over(order)).withColumn("part", F.floor((F.row_number().over(order) - 1) / pieces))
+    lists = rows.groupBy("parsed_id", "part").agg(F.collect_list(F.struct("chunk_index", "start_char", "end_char", "hash", "previous")).alias("chunks"))
     limits = configs.select("config_id", "max_chars", "overlap_chars")
     docs = documents.select("parsed_id", "extracted_text", "config_id").where("extracted_text IS NOT NULL").join(limits, "config_id", "left")
     joined = lists.join(docs, "parsed_id").select("parsed_id", "extracted_text", "max_chars", "overlap_chars", "chunks")
@@ -188,7 +213,7 @@ def audit(chunks: DataFrame, documents: DataFrame, configs: DataFrame, pieces: i
             for pid, text, m, o, stored in zip(*(c.to_pylist() for c in batch.columns)):
                 graph = CutGraph(text)
                 for c in stored:
-                    for d in graph.defects(c["previous"], c["start_char"], c["end_char"], c["text"], Limits(m, o)):
+                    for d in graph.defects(c["previous"], c["start_char"], c["end_char"], c["hash"], Limits(m, o)):
                         found.append((pid, c["chunk_index"], d))
             a, b, c_ = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c_, pa.string())], names=["parsed_id", "chunk_index", "defect"])

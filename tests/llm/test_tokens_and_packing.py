@@ -25,7 +25,8 @@ def ids(encoder, text):
 
 
 def test_fragments_give_the_ids_of_the_whole_text(encoder):
-    for text in [*texts(), "a" * 3000, "qz!x" * 800, "漢字" * 500, " " * 100, "\n \n", "x  y", "don't 'tis", "<|endoftext|>"]:
+    spaced = ["\u00e9 x", "\u00a0 x", "x\u2003y", "\u3000\u00e9", "\u0085 a", "a\u0085b", "\u00e9's", "!'s", "''s", "d'l l", "\u2029  z", "\x1c \x1f x", "\ud800 a"]
+    for text in [*texts(), *spaced, "a" * 3000, "qz!x" * 800, "漢字" * 500, " " * 100, "\n \n", "x  y", "don't 'tis", "<|endoftext|>"]:
         assert ids(encoder, text) == encoder.direct.encode_ordinary(text)
 
 
@@ -43,6 +44,21 @@ def test_forced_pairs_lie_in_no_token(encoder):
     assert encoder.forced[ord("a"), ord(" ")] and not encoder.cuts[:, ord("'")].any()
 
 
+def test_most_cuts_are_certain_ones(encoder, data):
+    """Cuts by kind on real texts: pairs in no token, and white space after a character whose pair is in some token."""
+    import pyarrow.parquet as pq
+
+    kinds, longest = Counter(), 0
+    for text in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        raw = (text or "").encode()
+        at = encoder.certain(raw).tolist()
+        kinds.update("forced" if encoder.forced[raw[i - 1], raw[i]] else "space" for i in at)
+        kinds["words"] += len((text or "").split())
+        longest = max([longest, *(j - i for i, j in zip([0, *at], [*at, len(raw)]))])
+        assert ids(encoder, text) == encoder.direct.encode_ordinary(text or "")
+    assert kinds["forced"] > 0.8 * kinds["words"] and kinds["forced"] > 5 * kinds["space"]
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (1, "hello world", "x"), (2, "", "x"), (3, None, "x"), (None, "a", "x")], "doc_id bigint, text string, ids string")
     found = tokens.encode_texts(df)
