@@ -79,14 +79,27 @@ def spans(text: Column, pattern: str) -> Column:
     # Length of text before match i: gaps 0 to i and matches before i.
     pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    empty = F.expr("named_struct('at', 0, 'found', cast(array() AS array<struct<start:int,end:int,value:string>>))")
+    none = "cast(array() AS array<struct<start:int,end:int,value:string>>)"
+    empty = F.expr(f"named_struct('at', 0, 'found', {none})")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         end = start + F.length(p["value"])
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("found"))
 
-    return F.when(text.isNotNull(), F.aggregate(pairs, empty, step, lambda acc: acc["found"]))
+    def block(acc: Column, own: Column) -> Column:
+        first = F.struct(acc["at"].alias("at"), F.expr(none).alias("found"))
+        return let(F.aggregate(own, first, step), lambda b: F.struct(b["at"].alias("at"), F.concat(acc["found"], b["found"]).alias("found")))
+
+    return F.when(text.isNotNull(), let(pairs, lambda p: F.aggregate(blocks(p), empty, block, lambda acc: acc["found"])))
+
+
+def blocks(items: Column, size: int = 512) -> Column:
+    """``items`` (evaluated for every block: use within ``let``) in arrays of ``size``.
+
+    Appending to an array copies it, so long ones are put together block by block.
+    """
+    return F.when(F.size(items) == 0, F.slice(F.array(items), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, F.lit(size))))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -117,12 +130,27 @@ def merged(spans_: Column) -> Column:
     def safe(acc: Column, s: Column) -> Column:
         return F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s))
 
-    return F.aggregate(plain, empty, safe)
+    def block(acc: Column, own: Column) -> Column:
+        # The last span so far goes on into the block, which is joined by itself first.
+        n = F.size(acc)
+        return F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.aggregate(own, F.slice(acc, F.greatest(n, F.lit(1)), F.lit(1)), safe))
+
+    return let(plain, lambda p: F.aggregate(blocks(p), empty, block))
+
+
+def json_value(text: Column) -> Column:
+    """``text`` as one JSON value, or null.
+
+    The parser alone passes over what follows a value; in brackets and in braces nothing that follows can close both.
+    """
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    closed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(closed, let(one, lambda a: F.when(F.size(a) == 1, a[0])))
 
 
 def json_metadata(text: Column, nested: bool = False) -> Column:
     """Whether a JSON text is an object of plain values (with ``nested`` also of objects of plain values)."""
-    shape = F.schema_of_variant(F.try_parse_json(text))
+    shape = F.schema_of_variant(json_value(text))
     name = r"(?:`[^`]*`|[^<>`:]+)"
     plain = r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+,\d+\))"
     flat = rf"OBJECT<(?:{name}: {plain}(?:, |(?=>)))*>"

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import errors
+from marginalia.functions import text as T
 from marginalia.schemas import ANSWER_COLLECTIONS, COLLECTIONS
 
 log = logging.getLogger(__name__)
@@ -87,18 +88,7 @@ def ask(chunks: DataFrame, connect: Callable[[str], Transport], key: str | None,
     return chunks.select("chunk_id", "text").mapInArrow(run, "chunk_id string, content string, code string")
 
 
-def _value(text: Column) -> Column:
-    """``text`` as one JSON value, or null; the parser alone would pass over what follows the value."""
-    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(one) == 1, one[0])
-
-
-def answer_code(text: Column) -> Column:
-    """Null for an answer of the right shape, else ``malformed_json`` or ``schema_validation``.
-
-    All keys must be there and no others; lists must hold strings alone; confidence is a number from 0 to 1.
-    """
-    value = _value(text)
+def _code(value: Column, text: Column) -> Column:
     keys = F.array_sort(F.json_object_keys(text))
     wanted = F.array(*(F.lit(k) for k in sorted([*ANSWER_COLLECTIONS, "confidence"])))
     lists = [F.schema_of_variant(F.try_variant_get(value, f"$.{c}", "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(~F.exists(F.try_variant_get(value, f"$.{c}", "array<string>"), lambda x: x.isNull()), F.lit(False)) for c in ANSWER_COLLECTIONS]
@@ -109,14 +99,28 @@ def answer_code(text: Column) -> Column:
     return F.when(value.isNull(), "malformed_json").when(~F.coalesce(fits, F.lit(False)), "schema_validation")
 
 
+def answer_code(text: Column) -> Column:
+    """Null for an answer of the right shape, else ``malformed_json`` or ``schema_validation``.
+
+    All keys must be there and no others; lists must hold strings alone; confidence is a number from 0 to 1.
+    """
+    return T.let(T.json_value(text), lambda value: _code(value, text))
+
+
 def answers(df: DataFrame) -> DataFrame:
-    """Knowledge objects with ``error`` from (chunk_id, content, code)."""
-    code = F.coalesce("code", F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "unexpected_response"), answer_code(F.col("content")))
-    rows = df.select("chunk_id", "content", code.alias("code"))
-    value = F.when(F.col("code").isNull(), _value(F.col("content")))
-    lists = [F.try_variant_get(value, f"$.{a}", "array<string>").alias(c) for a, c in zip(ANSWER_COLLECTIONS, COLLECTIONS)]
-    error = F.when(F.col("code").isNotNull(), F.struct("code", F.lit("the provider gave no usable answer").alias("message")))
-    return rows.select("chunk_id", *lists, F.try_variant_get(value, "$.confidence", "double").alias("confidence"), error.alias("error"))
+    """Knowledge objects with ``error`` from (chunk_id, content, code); each content is parsed once."""
+    text = F.col("content")
+    early = F.coalesce("code", F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unexpected_response"))
+
+    def read(value: Column) -> Column:
+        lists = [F.try_variant_get(value, f"$.{a}", "array<string>").alias(c) for a, c in zip(ANSWER_COLLECTIONS, COLLECTIONS)]
+        return F.struct(_code(value, text).alias("code"), *lists, F.try_variant_get(value, "$.confidence", "double").alias("confidence"))
+
+    rows = df.select("chunk_id", early.alias("early"), T.let(T.json_value(F.when(early.isNull(), text)), read).alias("read"))
+    code = F.coalesce("early", "read.code")
+    error = F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit("the provider gave no usable answer").alias("message")))
+    good = [F.when(code.isNull(), F.col(f"read.{c}")).alias(c) for c in (*COLLECTIONS, "confidence")]
+    return rows.select("chunk_id", *good, error.alias("error"))
 
 
 def provider(connect: Callable[[str], Transport], key: str | None, model: str | None) -> Callable[[DataFrame], DataFrame]:

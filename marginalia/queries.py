@@ -89,11 +89,11 @@ def t10_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t11_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata as JSON is flat; one level deeper it is so only with nesting allowed."""
-    flat = F.to_json("metadata")
-    rows = table(spark, d, "parsed_documents").select("parsed_id", flat.alias("flat"), F.concat(F.lit('{"source": '), flat, F.lit("}")).alias("deep"))
-    columns = {f"{name}_{kind}": T.json_metadata(F.col(name), kind == "nested") for name in ("flat", "deep") for kind in ("plain", "nested")}
-    return rows.select("parsed_id", *(c.alias(n) for n, c in columns.items()))
+    """Chunks' metadata as JSON is flat without that of the source and nested with it; one level deeper, and damaged, it is neither."""
+    own = F.to_json("metadata")
+    rows = spread(table(spark, d, "document_chunks").select("chunk_id", own.alias("own"), F.concat(F.lit('{"a": '), own, F.lit("}")).alias("deep"), F.concat(own, F.lit("]")).alias("broken")).distinct())
+    columns = {f"{name}_{kind}": T.json_metadata(F.col(name), kind == "nested") for name in ("own", "deep", "broken") for kind in ("plain", "nested")}
+    return rows.select("chunk_id", *(c.alias(n) for n, c in columns.items()))
 
 
 # ---------------------------------------------------------------- structure and chunks
@@ -129,15 +129,33 @@ def c12_spans(spark: SparkSession, d: str) -> DataFrame:
     return chunks.plan(_configured(spark, d), "parsed_id", "extracted_text")
 
 
+def _unbroken(spark: SparkSession, d: str) -> DataFrame:
+    """Every parsed document with a text as long as its own that has no place to cut, so that SQL can reckon its chunks."""
+    rows = _configured(spark, d).where("length(extracted_text) > 0").withColumn("n", F.length("extracted_text"))
+    return rows.withColumns({"extracted_text": F.expr("repeat('x', n)"), "filename": F.col("parsed_id"), "word_count": F.lit(1).cast("long"), "character_count": F.col("n").cast("long"), "file_type": F.lit("txt"), "page_count": F.lit(None).cast("int")})
+
+
+def c12_unbroken(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.plan(_unbroken(spark, d), "parsed_id", "extracted_text")
+
+
+def c16_unbroken(spark: SparkSession, d: str) -> DataFrame:
+    found = chunks.chunk(_unbroken(spark, d))
+    return found.select("chunk_id", F.col("document_filename").alias("parsed_id"), "chunk_index", "start_char", "end_char", "word_count", "character_count", F.length("text").alias("n"), F.col("error.code").alias("error_code"))
+
+
+def c12_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a heading and a list of every order's items: heads stay with what follows, items stay whole."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("k"))
+    text = F.concat(F.lit("# Items of it\n\n"), F.expr("repeat('- this item is as long as any\n', k)"))
+    return chunks.plan(items.select("l_orderkey", text.alias("text")), "l_orderkey", "text", ChunkingConfig(100, 0))
+
+
 def c15_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """The plan of every document breaks no rule: number of chunks, covered characters, rules broken."""
-    config = ChunkingConfig(800, 80)
-    parsed = _parsed(spark, d)
-    spans = stage(chunks.plan(parsed, "parsed_id", "extracted_text", config), "spans")
-    lengths = parsed.select("parsed_id", F.length("extracted_text").alias("n"))
-    broken = chunks.invariants(spans, lengths, "parsed_id", config).groupBy("parsed_id").agg(F.count("*").alias("n_broken"))
-    sums = spans.groupBy("parsed_id").agg(F.min("start_char").alias("first_char"), F.max("end_char").alias("last_char"))
-    return sums.join(broken, "parsed_id", "left").select("parsed_id", "first_char", "last_char", F.coalesce("n_broken", F.lit(0)).cast("long").alias("n_broken"))
+    """The rules of a plan of 800 and 80 characters that the stored chunks break, which have other sizes and defects."""
+    spans = _chunks(spark, d).select("parsed_id", "chunk_index", "start_char", "end_char").distinct()
+    lengths = table(spark, d, "parsed_documents").select("parsed_id", F.length("extracted_text").alias("n"))
+    return chunks.invariants(spans, lengths, "parsed_id", ChunkingConfig(800, 80))
 
 
 def c16_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -210,6 +228,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
         "extra": F.to_json(F.struct(*lists, "confidence", F.lit(1).alias("more"))),
         "range": F.to_json(F.struct(*lists, F.lit(1.5).alias("confidence"))),
         "broken": F.concat(F.to_json(whole), F.lit("}")),
+        "bracket": F.concat(F.to_json(whole), F.lit("]")),
         "blank": F.lit(" "),
     }
     return reduce(DataFrame.unionByName, [objects.select("chunk_id", F.lit(k).alias("version"), v.alias("content"), F.lit(None).cast("string").alias("code")) for k, v in versions.items()])
@@ -296,7 +315,7 @@ def p2_readings(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        t1_word_count, t2_character_count, t3_lines, t5_line_kinds, t8_sentences, t9_fingerprint, t10_chunk_ids, t11_metadata, g1_groups, g3_boundaries, c5_nearest, c12_spans, c14_document_errors, c15_invariants,
+        t1_word_count, t2_character_count, t3_lines, t5_line_kinds, t8_sentences, t9_fingerprint, t10_chunk_ids, t11_metadata, g1_groups, g3_boundaries, c5_nearest, c12_spans, c12_unbroken, c12_lists, c16_unbroken, c14_document_errors, c15_invariants,
         c16_chunks, k1_knowledge, k4_entities, k5_facts, k6_definitions, k7_dates, k8_metrics, k9_references, k10_merged, e1_chunk_errors, e3_knowledge_errors, l5_answers, r2_distinct, r3_findings,
         r4_timeline, r5_summary, r7_markdown, s2_health, s5_upload_checks, s7_stored_names, s9_batches, p2_found, p2_readings,
     ]
@@ -319,6 +338,30 @@ _KNOWN = f"SELECT DISTINCT k.chunk_id, {_LISTS}, confidence, parsed_id, chunk_in
 _CHUNKS = "SELECT DISTINCT chunk_id, parsed_id, document_filename, chunk_index, text, start_char, end_char, word_count, character_count FROM document_chunks"
 _NAME = r"list_extract(string_split(rtrim(replace(filename, '\', '/'), '/'), '/'), -1)"
 _WORDS = f"len(regexp_extract_all(text, '[^{_W}]+'))"
+_UUID = "s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', s[17:17]) - 1) % 4 + 1, 1) || s[18:20] || '-' || s[21:32]"
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+#: Lines with their kinds: the rules of headings, lists and paragraphs without look-around.
+_LINE_KINDS = rf"""SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(line, '^[{_W}]{{0,3}}#{{1,6}}[{_W}]+[^{_W}]') THEN 'heading' WHEN regexp_matches(line, '^[{_W}]*(?:[-*+•][{_W}]+|\p{{Nd}}+[.)][{_W}]+)') THEN 'list'
+  WHEN length(t) <= 120 AND len(regexp_extract_all(t, '[^{_W}]+')) <= 12 AND right(t, 1) NOT IN ('.', '?', '!', ';', ':') AND next = ''
+    AND (regexp_matches(line, '^[{_W}]*\p{{Nd}}+(?:\.\p{{Nd}}+)*[.)]?[{_W}]+[^{_W}]') OR regexp_matches(t, '^(?:[^{_CASED}]|[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*(?:[^{_CASED}]|$))*$') AND regexp_matches(t, '\p{{L}}')) THEN 'heading' ELSE 'paragraph' END AS kind
+  FROM (SELECT *, trim(line, {_CHARS}) AS t, lead(trim(line, {_CHARS})) OVER (PARTITION BY parsed_id ORDER BY line_no) AS next
+    FROM (SELECT *, CASE WHEN raw LIKE '%' || chr(13) THEN left(raw, length(raw) - 1) ELSE raw END AS line FROM ({_LINES})))"""
+_GROUPS = f"""a AS (SELECT *, CASE WHEN kind = 'heading' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY parsed_id ORDER BY line_no) THEN 1 ELSE 0 END AS new FROM ({_LINE_KINDS})),
+  b AS (SELECT *, sum(new) OVER (PARTITION BY parsed_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM a),
+  c AS (SELECT parsed_id, island, kind, min(start_char) AS s, max(least(start_char + length(raw) + 1, n)) AS e, CASE WHEN kind = 'list' THEN list(start_char ORDER BY start_char) ELSE [] END AS items FROM b WHERE kind <> 'blank' GROUP BY parsed_id, island, kind),
+  d AS (SELECT *, coalesce(kind = 'heading' AND lead(kind) OVER w IN ('paragraph', 'list'), false) AS joins, lead(e) OVER w AS e1, lead(items) OVER w AS i1 FROM c WINDOW w AS (PARTITION BY parsed_id ORDER BY island)),
+  g AS (SELECT parsed_id, CAST(row_number() OVER (PARTITION BY parsed_id ORDER BY island) - 1 AS INT) AS ord, CAST(s AS INT) AS start_char, CAST(CASE WHEN joins THEN e1 ELSE e END AS INT) AS end_char,
+    CASE WHEN joins THEN 'heading_with_content' ELSE kind END AS kind, CASE WHEN joins THEN i1 ELSE items END AS items, CAST(len(CASE WHEN joins THEN i1 ELSE items END) AS INT) AS n_items
+    FROM (SELECT *, coalesce(lag(joins) OVER (PARTITION BY parsed_id ORDER BY island), false) AS taken FROM d) WHERE NOT taken)"""
+#: Chunks of texts without a place to cut: equal steps; a rest that adds too little goes to the chunk before it.
+_UNBROKEN = """SELECT parsed_id, n AS n_all, CAST(i AS INT) AS chunk_index, CAST(i * (m - o) AS INT) AS start_char, CAST(CASE WHEN i = k - 1 THEN n ELSE i * (m - o) + m END AS INT) AS end_char
+  FROM (SELECT *, unnest(range(k)) AS i FROM (SELECT *, CASE WHEN c > 1 AND n - ((c - 2) * (m - o) + m) < least_ THEN c - 1 ELSE c END AS k FROM (SELECT *, CASE WHEN n <= m THEN 1 ELSE 1 + CAST(ceil((n - m) / (m - o)) AS INT) END AS c
+    FROM (SELECT parsed_id, length(extracted_text) AS n, max_chars AS m, overlap_chars AS o, coalesce(min_chunk_chars, greatest(1, least(max_chars // 4, max_chars - overlap_chars))) AS least_
+      FROM parsed_documents JOIN chunking_configs USING (config_id) WHERE length(extracted_text) > 0))))"""
+_BLOCKS = " || ".join(
+    f"rtrim(chr(10) || chr(10) || '## {title}' || coalesce(chr(10) || chr(10) || max(t) FILTER (kind = '{kind}'), ''), chr(10))"
+    for title, kind in (("Key Findings", "facts"), ("Important Entities", "entities"), ("Definitions", "definitions"), ("Metrics", "metrics"), ("Timeline", "dates"), ("References", "refs"))
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -335,14 +378,38 @@ def oracle_sql() -> dict[str, str]:
         "t9_fingerprint": "SELECT parsed_id, sha256(filename || chr(31) || file_type || chr(31) || extracted_text) AS fingerprint FROM parsed_documents",
         "t10_chunk_ids": f"""WITH h AS (SELECT doc_id, sha1(unhex('{T.CHUNK_NAMESPACE.replace("-", "")}') || encode(sha256(text) || chr(31) || '0' || chr(31) || length(text))) AS s FROM documents WHERE text IS NOT NULL)
             SELECT doc_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', s[17:17]) - 1) % 4 + 1, 1) || s[18:20] || '-' || s[21:32] AS chunk_id FROM h""",
-        "t11_metadata": "SELECT parsed_id, metadata IS NOT NULL AS flat_plain, metadata IS NOT NULL AS flat_nested, false AS deep_plain, metadata IS NOT NULL AS deep_nested FROM parsed_documents",
+        "t11_metadata": """SELECT DISTINCT chunk_id, metadata IS NOT NULL AND metadata.source_metadata IS NULL AS own_plain, metadata IS NOT NULL AS own_nested, false AS deep_plain,
+            metadata IS NOT NULL AND metadata.source_metadata IS NULL AS deep_nested, false AS broken_plain, false AS broken_nested FROM document_chunks""",
+        "t5_line_kinds": f"SELECT parsed_id, kind, count(*) AS n_lines FROM ({_LINE_KINDS}) GROUP BY ALL",
+        "g1_groups": f"WITH {_GROUPS} SELECT parsed_id, ord, start_char, end_char, kind, n_items FROM g",
+        "g3_boundaries": f"""WITH {_GROUPS} SELECT parsed_id, 'hard' AS side, start_char AS at_char FROM g WHERE ord > 0 UNION SELECT parsed_id, 'hard', 0 FROM parsed_documents WHERE extracted_text IS NOT NULL
+            UNION SELECT parsed_id, 'hard', CAST(length(extracted_text) AS INT) FROM parsed_documents WHERE extracted_text IS NOT NULL UNION SELECT parsed_id, 'soft', CAST(unnest(items[2:]) AS INT) FROM g""",
+        "c12_unbroken": f"SELECT parsed_id, chunk_index, start_char, end_char FROM ({_UNBROKEN})",
+        "c16_unbroken": f"""WITH h AS (SELECT *, sha1(unhex('{T.CHUNK_NAMESPACE.replace("-", "")}') || encode(sha256(parsed_id || chr(31) || 'txt' || chr(31) || repeat('x', n_all)) || chr(31) || start_char || chr(31) || end_char)) AS s FROM ({_UNBROKEN}))
+            SELECT {_UUID} AS chunk_id, parsed_id, chunk_index, start_char, end_char, CAST(1 AS BIGINT) AS word_count, CAST(end_char - start_char AS BIGINT) AS character_count, CAST(end_char - start_char AS INT) AS n, CAST(NULL AS VARCHAR) AS error_code FROM h""",
+        # A heading of 15 characters and items of 30 in chunks of 100: two items with the heading, then three each; a rest is long enough.
+        "c12_lists": """WITH o AS (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY ALL), c AS (SELECT l_orderkey, k, unnest(range(CASE WHEN k <= 2 THEN 1 ELSE 1 + CAST(ceil((k - 2) / 3.0) AS INT) END)) AS i FROM o)
+            SELECT l_orderkey, CAST(i AS INT) AS chunk_index, CAST(CASE i WHEN 0 THEN 0 ELSE 75 + 90 * (i - 1) END AS INT) AS start_char, CAST(least(15 + 30 * k, 75 + 90 * i) AS INT) AS end_char FROM c""",
         "c14_document_errors": f"""SELECT parsed_id, CASE WHEN NOT coalesce(regexp_matches(filename, '[^{_W}]'), false) OR NOT coalesce(file_type IN ('pdf', 'docx', 'md', 'txt'), false) OR page_count < 0
             OR NOT coalesce(word_count >= 0 AND character_count >= 0, false) THEN 'invalid_document' WHEN NOT coalesce(regexp_matches(extracted_text, '[^{_W}]'), false) THEN 'empty_text'
             WHEN character_count <> length(extracted_text) OR word_count <> len(regexp_extract_all(extracted_text, '[^{_W}]+')) THEN 'invalid_document' END AS error_code FROM parsed_documents""",
         "c5_nearest": f"""WITH c AS ({_CHUNKS}), d AS (SELECT parsed_id, CAST(max(end_char) // 2 AS INT) AS m, max(end_char) AS n FROM c GROUP BY parsed_id)
             SELECT parsed_id, max(start_char) FILTER (start_char <= m) AS last_start, min(start_char) FILTER (start_char >= m AND start_char <= n) AS first_start,
             arg_min(start_char, abs(start_char - m) * 100000 + start_char) FILTER (start_char >= 0 AND start_char < n) AS nearest_start FROM c JOIN d USING (parsed_id) GROUP BY parsed_id""",
-        "c15_invariants": "SELECT parsed_id, 0 AS first_char, CAST(length(extracted_text) AS INT) AS last_char, CAST(0 AS BIGINT) AS n_broken FROM parsed_documents WHERE length(extracted_text) > 0",
+        "c15_invariants": """WITH c AS (SELECT DISTINCT parsed_id, chunk_index, start_char AS s, end_char AS e FROM document_chunks), w AS (SELECT c.*, length(extracted_text) AS n, lag(s) OVER o AS s0, lag(e) OVER o AS e0, lead(s) OVER o IS NULL AS last
+            FROM c JOIN parsed_documents USING (parsed_id) WINDOW o AS (PARTITION BY parsed_id ORDER BY chunk_index))
+            SELECT parsed_id, 'cover' AS rule FROM w WHERE s0 IS NULL AND s <> 0 OR last AND e <> n UNION SELECT parsed_id, 'range' FROM w WHERE s < 0 OR e <= s OR e > n UNION
+            SELECT parsed_id, 'size' FROM w WHERE e - s > CASE WHEN last THEN 1000 ELSE 800 END UNION SELECT parsed_id, 'progress' FROM w WHERE s <= s0 UNION SELECT parsed_id, 'gap' FROM w WHERE s > e0 UNION
+            SELECT parsed_id, 'end' FROM w WHERE e <= e0 UNION SELECT parsed_id, 'contribution' FROM w WHERE e > e0 AND e - e0 < 200""",
+        "r7_markdown": f"""WITH k AS ({_KNOWN}), a AS ({kinds}), v AS (SELECT parsed_id, kind, value, row_number() OVER (PARTITION BY parsed_id, kind, value ORDER BY chunk_index, chunk_id, pos) AS r, chunk_index, chunk_id, pos FROM a),
+            l AS (SELECT parsed_id, kind, string_agg('- ' || value, chr(10) ORDER BY chunk_index, chunk_id, pos) AS t FROM v WHERE r = 1 GROUP BY ALL),
+            f AS (SELECT parsed_id, chunk_index, chunk_id, unnest(facts) AS v, generate_subscripts(facts, 1) AS pos FROM k), m AS (SELECT *, row_number() OVER (PARTITION BY parsed_id ORDER BY chunk_index, chunk_id, pos) AS i FROM f),
+            t AS (SELECT parsed_id, chunk_index, chunk_id, unnest(dates) AS v, generate_subscripts(dates, 1) AS pos FROM k),
+            x AS (SELECT parsed_id, 'facts' AS kind, string_agg('- **Finding ' || i || '**: ' || v, chr(10) ORDER BY i) AS t FROM m GROUP BY ALL UNION ALL SELECT * FROM l UNION ALL
+              SELECT parsed_id, 'dates', string_agg('- **' || v || '**: Extracted date: ' || v || '.', chr(10) ORDER BY chunk_index, chunk_id, pos) FROM t GROUP BY ALL),
+            p AS (SELECT parsed_id, count(*) AS n FROM k GROUP BY ALL)
+            SELECT p.parsed_id, '# Research Report' || chr(10) || chr(10) || '## Executive Summary' || chr(10) || chr(10) || 'Research report generated from ' || any_value(n) || ' extracted knowledge objects.' || {_BLOCKS} || chr(10) AS markdown,
+            CAST(NULL AS VARCHAR) AS error_code FROM p LEFT JOIN x USING (parsed_id) GROUP BY p.parsed_id""",
         "k4_entities": f"""SELECT o_orderkey AS key, CAST(p AS INT) AS pos, CASE p WHEN 0 THEN upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' Order Desk' ELSE 'Invoice Ledger' END AS value
             {_NOTES} CROSS JOIN (VALUES (0), (1)) v(p)""",
         "k7_dates": f"""SELECT o_orderkey AS key, CAST(length(c_mktsegment) + 24 + length(format('{{:,.2f}}', o_totalprice)) AS INT) AS start_char, strftime(o_orderdate, '%Y-%m-%d') AS value {_NOTES}""",
@@ -361,8 +428,8 @@ def oracle_sql() -> dict[str, str]:
         "e3_knowledge_errors": f"""SELECT chunk_id, CASE {" ".join(f"WHEN {c} IS NULL OR len(list_filter({c}, lambda x: x IS NULL)) > 0 THEN '{c} is no list of strings'" for c in COLLECTIONS)}
             WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence is not from 0 to 1' END AS message FROM (SELECT DISTINCT chunk_id, {_LISTS}, confidence FROM knowledge_objects)""",
         "l5_answers": f"""WITH k AS (SELECT DISTINCT chunk_id, {_LISTS}, confidence FROM knowledge_objects WHERE {valid})
-            SELECT chunk_id || '/' || v AS chunk_id, CASE v WHEN 'broken' THEN 'malformed_json' WHEN 'blank' THEN 'unexpected_response' WHEN 'right' THEN NULL ELSE 'schema_validation' END AS error_code,
-            CASE WHEN v = 'right' THEN CAST(len(entities) AS INT) END AS n_entities FROM k CROSS JOIN (VALUES ('right'), ('missing'), ('extra'), ('range'), ('broken'), ('blank')) t(v)""",
+            SELECT chunk_id || '/' || v AS chunk_id, CASE v WHEN 'broken' THEN 'malformed_json' WHEN 'bracket' THEN 'malformed_json' WHEN 'blank' THEN 'unexpected_response' WHEN 'right' THEN NULL ELSE 'schema_validation' END AS error_code,
+            CASE WHEN v = 'right' THEN CAST(len(entities) AS INT) END AS n_entities FROM k CROSS JOIN (VALUES ('right'), ('missing'), ('extra'), ('range'), ('broken'), ('bracket'), ('blank')) t(v)""",
         "r2_distinct": f"""WITH k AS ({_KNOWN}), a AS ({kinds}), f AS (SELECT *, row_number() OVER (PARTITION BY parsed_id, kind, value ORDER BY chunk_index, chunk_id, pos) AS r FROM a)
             SELECT parsed_id, kind, value, row_number() OVER (PARTITION BY parsed_id, kind ORDER BY chunk_index, chunk_id, pos) AS number FROM f WHERE r = 1""",
         "r3_findings": f"""WITH k AS ({_KNOWN}), a AS (SELECT parsed_id, chunk_index, chunk_id, unnest(facts) AS description, generate_subscripts(facts, 1) AS pos FROM k),

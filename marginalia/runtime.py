@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,16 +47,29 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     the driver's Python ends, as the frame returned to a caller may still be read lazily until then.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed as ``stage``'s tables are."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def release() -> None:
-    """Delete the tables that ``stage`` wrote in this process."""
+    """Delete the tables that ``stage`` wrote in this process.
+
+    Local ones go even if their session has been stopped; elsewhere call this before stopping it.
+    """
     while _staged:
         spark, path = _staged.pop()
+        local = path.removeprefix("file://")
+        if local.startswith("/") and os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
+            continue
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

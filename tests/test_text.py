@@ -90,6 +90,14 @@ def test_merged_spans(spark, rows):
 
 
 def test_json_metadata(spark):
-    values = ['{"a": 1, "b": "x", "c": null, "d": true, "e": 1.5}', "{}", '{"a": {"b": 1}}', '{"a": {"b": {"c": 1}}}', '{"a": [1]}', "[1]", "nonsense", "1"]
-    assert column(spark, values, T.json_metadata) == [True, True, False, False, False, False, False, False]
-    assert column(spark, values, lambda c: T.json_metadata(c, nested=True)) == [True, True, True, False, False, False, False, False]
+    values = ['{"a": 1, "b": "x", "c": null, "d": true, "e": 1.5}', "{}", '{"a": {"b": 1}}', '{"a": {"b": {"c": 1}}}', '{"a": [1]}', "[1]", "nonsense", "1", '{"a": 1}]', '{"a": 1}}', '{"a": 1}, {}', '{"a": 1} x']
+    assert column(spark, values, T.json_metadata) == [True, True] + [False] * 10
+    assert column(spark, values, lambda c: T.json_metadata(c, nested=True)) == [True, True, True] + [False] * 9
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand matches, and as many spans to merge, in one text."""
+    n = 100_000
+    rows = frame(spark, ["12% é " * n]).select(T.spans(F.col("text"), extract.METRIC).alias("s"))
+    r = rows.select(F.size("s").alias("n"), F.col("s")[n - 1]["start"].alias("last"), F.size(T.merged(F.col("s"))).alias("m")).first()
+    assert (r.n, r.last, r.m) == (n, 6 * (n - 1), n)
