@@ -70,7 +70,7 @@ def batches(df: DataFrame) -> DataFrame:
 
 
 def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path) of the files of length 0, which a scan passes over; they are in the listing that the driver made for it."""
+    """(path) of the files of length 0, which a scan passes over; they are in the listing that the driver made for it and holds anyway."""
     listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     return listed.join(files.select(plain(F.col("path")).alias("_seen")), plain(F.col("path")) == F.col("_seen"), "left_anti")
@@ -79,15 +79,20 @@ def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
     """Files below ``path`` as an upload batch: one row a file, with its error; content isn't read.
 
-    An empty folder gives no rows. The batch's id is new on every execution of the frame.
+    A folder without files gives one row without a path, whose error says that a batch holds at least one.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     none = _empty_files(spark, files).select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
     files = files.unionByName(none)
+    if files.isEmpty():
+        error = F.struct(F.lit("upload_validation").alias("code"), F.lit("a batch holds at least one file").alias("message"))
+        files = spark.range(1).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    else:
+        error = F.lit(None).cast(_ERROR)
     name = safe_name(F.col("path"))
     types = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))
     rows = files.select("path", name.alias("filename"), types[suffix(name)].alias("content_type"), F.col("length").alias("file_size"), F.col("modificationTime").alias("upload_timestamp"))
-    return rows.withColumn("status", F.lit("uploaded")).withColumn("error", F.coalesce(name_error(F.col("filename")), size_error(F.col("file_size"), most)))
+    return rows.withColumn("status", F.lit("uploaded")).withColumn("error", F.coalesce(error, name_error(F.col("filename")), size_error(F.col("file_size"), most)))
 
 
 PdfReader = Callable[[bytes], tuple[str, int, dict[str, str]]]

@@ -68,6 +68,11 @@ def test_ingest_reads_no_content(spark, folder):
     assert codes["b.MD"] is None and codes["a.txt"] == "upload_too_large" and codes["i.exe"] == "unsupported_type"
 
 
+def test_an_empty_batch_is_an_error(spark, tmp_path):
+    rows = files.ingest(spark, f"file://{tmp_path}").collect()
+    assert [(r.path, r.error.code) for r in rows] == [(None, "upload_validation")]
+
+
 def test_names(spark):
     names = ["C:\\dir\\x.PDF", "a/b.txt", "..", ".", ".pdf", "", "a.tar.gz", "dir/", "..md", "a.", "n\0.txt", None]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, filename string")
