@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,31 +18,28 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return documents.unionByName(chunks)
 
 
-def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, ledger.Ledger]:
-    books, records = ledger.Ledger(spark), []
-    for batch in ledger.arrivals(table(spark, d, "knowledge_objects"), "chunk_id", "loaded_at"):
-        records.append(stage(ledger.knowledge_keys(batch), "records"))
-    for batch in ledger.arrivals(table(spark, d, "research_reports"), "report_id", "created_at"):
-        records.append(stage(ledger.report_keys(batch), "records"))
-    for r in records:
-        books.add(r)
-    return reduce(DataFrame.unionByName, records), books
+def _ledger(spark: SparkSession, d: str) -> ledger.Ledger:
+    """The ledger after two batches, of early and of late arrivals."""
+    keys = ledger.knowledge_keys(table(spark, d, "knowledge_objects"), "loaded_at").unionByName(ledger.report_keys(table(spark, d, "research_reports"), "created_at"))
+    books = ledger.Ledger(spark)
+    for batch in ledger.arrivals(stage(keys, "keys"), "at"):
+        books.add(batch)
+    return books
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    records, books = _ledger(spark, d)
-    return ledger.copies(ledger.counted(records), books)
+    return ledger.copies(_ledger(spark, d), least=3)
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger's rows under the minimum of ``p1_found``, as its SQL has them; ``p1_copies`` has all."""
-    records, books = _ledger(spark, d)
-    return books.rows().join(ledger.counted(records), ["kind", "canon"], "left_semi").select("kind", "keep_key", "n_copies")
+    books = _ledger(spark, d)
+    return books.rows().join(ledger.counted(books.seen()), ["kind", "canon"], "left_semi").select("kind", "keep_key", "n_copies")
 
 
 def p1_copies(spark: SparkSession, d: str) -> DataFrame:
     """One record of each and its number of copies, over all records."""
-    return _ledger(spark, d)[1].rows().select("kind", "keep_key", "n_copies")
+    return _ledger(spark, d).rows().select("kind", "keep_key", "n_copies")
 
 
 def _scans(spark: SparkSession, d: str) -> DataFrame:
