@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.llm.sketch import Bits
 from marginalia.runtime import spread, stage
 
 SPAN = 200
 #: Rows of one gram above which its windows are exchanged one by one instead of within one task.
 HOT = 20_000
+#: Most bits of the filter of texts to extend; a full one only lets more through.
+FILTER_BITS = 1 << 28
 #: Characters handled at once; positions within a block fit into POSITION_BITS.
 POSITION_BITS = 20
 BLOCK = 1 << 18
@@ -223,8 +226,16 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     grams = stage(spread(docs).mapInArrow(first_level, f"gram bigint, id {id_type}, lo int, hi int"), "grams")
-    ranges = _repeated(grams).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    longer = docs.join(ranges.hint("shuffle_hash"), "id").select("id", "text", "ranges").mapInArrow(next_level, f"gram bigint, id {id_type}, lo int, piece string")
+    ranges = stage(_repeated(grams).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    # Only texts with windows that go on are exchanged.
+    named = ranges.select(F.xxhash64("id").alias("hash"))
+    bits = df.sparkSession.sparkContext.broadcast(Bits.of(named, Bits.size(named.count(), FILTER_BITS)))  # of bounded size
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Bits.has(bits.value, batch.column(2).to_numpy()))).select([0, 1])
+
+    longer = docs.select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(go_on, f"id {id_type}, text string").join(ranges.hint("shuffle_hash"), "id").select("id", "text", "ranges").mapInArrow(next_level, f"gram bigint, id {id_type}, lo int, piece string")
     left = stage(_repeated(stage(longer, "pieces")), "left")
     cold = left.where(F.col("n") <= hot).select("gram", "id", "lo", "piece")
     found = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(whole_windows, f"id {id_type}, start_char int, end_char int")
