@@ -154,10 +154,10 @@ class Rules:
         found: list[tuple[str, str, str, str]] = []
         options = [self.word.get(w, {w}) for w in words]
         form = " ".join(sorted(set(legal)))
-        for choice in product(*options) if len(words) < 12 else [tuple(words)]:
+        for choice in product(*options):  # words with several originals are few; all others have one choice
             versions = [list(choice)]
-            for n in (2, 3):  # neighbouring words by their first letters
-                versions += [[*choice[:i], "".join(w[0] for w in choice[i : i + n]), *choice[i + n :]] for i in range(len(choice) - n + 1)] if len(choice) > n else []
+            for n in range(2, len(choice)):  # neighbouring words by their first letters
+                versions += [[*choice[:i], "".join(w[0] for w in choice[i : i + n]), *choice[i + n :]] for i in range(len(choice) - n + 1)]
             for k, version in enumerate(versions):
                 v = sorted(version)
                 found.append(("acronym" if k else "same", f"{' '.join(v)} | {form}", "", "full"))

@@ -123,10 +123,17 @@ def representatives(texts: list[str | None], span: int, length: int) -> tuple[np
     return tuple(np.concatenate(x) for x in found)  # type: ignore[return-value]
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` whose gram occurs in two records or more, with the number of rows of the gram."""
-    grams = rows.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
-    return rows.join(grams.select("gram", "n"), "gram")
+def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose gram occurs in two records or more (and few others), and these grams (gram, n) with their numbers of rows."""
+    grams = stage(rows.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").select("gram", "n"), "repeated")
+    bits = rows.sparkSession.sparkContext.broadcast(Bits.of(grams.select("gram"), Bits.size(grams.count(), FILTER_BITS)))  # of bounded size
+    at = rows.columns.index("gram")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Bits.has(bits.value, batch.column(at).to_numpy())))
+
+    return rows.mapInArrow(some, rows.schema), grams
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT) -> DataFrame:
@@ -226,7 +233,8 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     grams = stage(spread(docs).mapInArrow(first_level, f"gram bigint, id {id_type}, lo int, hi int"), "grams")
-    ranges = stage(_repeated(grams).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    some, repeated = _repeated(grams)
+    ranges = stage(some.join(repeated.select("gram"), "gram", "left_semi").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     # Only texts with windows that go on are exchanged.
     named = ranges.select(F.xxhash64("id").alias("hash"))
     bits = df.sparkSession.sparkContext.broadcast(Bits.of(named, Bits.size(named.count(), FILTER_BITS)))  # of bounded size
@@ -236,10 +244,12 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch.filter(pa.array(Bits.has(bits.value, batch.column(2).to_numpy()))).select([0, 1])
 
     longer = docs.select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(go_on, f"id {id_type}, text string").join(ranges.hint("shuffle_hash"), "id").select("id", "text", "ranges").mapInArrow(next_level, f"gram bigint, id {id_type}, lo int, piece string")
-    left = stage(_repeated(stage(longer, "pieces")), "left")
-    cold = left.where(F.col("n") <= hot).select("gram", "id", "lo", "piece")
-    found = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(whole_windows, f"id {id_type}, start_char int, end_char int")
-    large = left.where(F.col("n") > hot).select("gram", "id", "lo", "piece").mapInArrow(each_window, f"gram bigint, id {id_type}, lo int, window bigint")
+    left, repeated = _repeated(stage(longer, "pieces"))
+    # Pieces go by their gram to where they are compared; grams with very many, of which there are few, otherwise.
+    crowded = repeated.where(F.col("n") > hot).select("gram")
+    cold = left.join(crowded, "gram", "left_anti") if not crowded.isEmpty() else left
+    found = cold.select("gram", "id", "lo", "piece").repartition("gram").sortWithinPartitions("gram").mapInArrow(whole_windows, f"id {id_type}, start_char int, end_char int")
+    large = left.join(crowded, "gram", "left_semi").select("gram", "id", "lo", "piece").mapInArrow(each_window, f"gram bigint, id {id_type}, lo int, window bigint")
     several = large.groupBy("gram", "window").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram", "window")
     found = found.unionByName(large.join(several, ["gram", "window"]).select("id", F.col("lo").alias("start_char"), (F.col("lo") + span).alias("end_char")))
     return merge_spans(found).withColumnRenamed("id", id_col)
